@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -22,6 +24,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches hold 8 MB at most unless the session says otherwise: rows hold whole texts of any length."""
+    ship(spark)
     if int(spark.conf.get(ARROW_BYTES, str(2**31 - 1)).rstrip("bB") or 0) >= 2**31 - 1:
         spark.conf.set(ARROW_BYTES, str(8 << 20))
 
