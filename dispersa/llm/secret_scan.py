@@ -235,7 +235,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
     found = find_secrets(docs.select("doc_id", "text")).drop("text")
     base = F.filter("secrets", lambda s: s["via"] == "")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: (s["via"] == "") & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"cast(size(filter(secrets, s -> s.via = '' AND s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), F.size(F.filter("secrets", lambda s: s["via"] != "")).cast("long").alias("n_decoded"))
 
 
