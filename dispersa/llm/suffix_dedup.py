@@ -9,9 +9,10 @@ put in order by deep-shallow sorting, and a string that starts d bytes left of i
 another context has d bytes in common to the left and ``length - d`` to the right, both of which are ranges of equal
 class in the two suffix arrays.
 
-A gram with more than ``group_limit`` different contexts is split: first by the part that all strings within 18 starting
-points share, then, where that is still common, by the strings themselves, whose counts need no sorting. So no task
-holds more than that many contexts of one group, and every repetition is found.
+A gram with more than ``group_limit`` different contexts is split by the part that all strings within 18 starting points
+share, of which only the few bytes on either side are then compared; where more than ``block_limit`` contexts share that
+part too, the strings themselves are counted, which needs no sorting. So a task sorts so many rows of one group at most,
+and every repetition is found.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from .suffix_sort import deep_shallow_sort
 
 LENGTH = 200
 GRAM = 64
-GROUP_LIMIT = 4000
+GROUP_LIMIT = 256
+BLOCK_LIMIT = 1 << 16
 STARTS = 18
 PIECE_BYTES = 128 << 10
 SORT_ROWS = 8192
@@ -127,9 +129,9 @@ def _contexts(marked: DataFrame, length: int, gram: int) -> DataFrame:
     return marked.mapInArrow(run, "kh long, many boolean, doc_id long, th long, place int, unsure boolean, left int, context binary")
 
 
-def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray, lowest: np.ndarray, highest: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """For each context the least and largest d in its own bounds such that the string starting d bytes left of its
-    anchor is also that of another context of the same group; -1 where there is none."""
+def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray, highest: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the least and largest d up to ``highest`` such that the string of ``length`` bytes that starts d
+    bytes left of its anchor is also that of another context of the same group; -1 where there is none."""
     n = len(contexts)
     right = [c[k:] for c, k in zip(contexts, lefts.tolist(), strict=True)]
     back = [c[:k][::-1] for c, k in zip(contexts, lefts.tolist(), strict=True)]
@@ -140,8 +142,8 @@ def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray
     _, group = np.unique(groups, return_inverse=True)
     many = int(group.max()) + 1
     a, b = np.empty(n, np.int64), np.empty(n, np.int64)
-    for d in range(int(lowest.min()), int(highest.max()) + 1):
-        able = np.flatnonzero((lefts >= d) & (right_size >= length - d) & (lowest <= d) & (highest >= d))
+    for d in range(highest + 1):
+        able = np.flatnonzero((lefts >= d) & (right_size >= length - d))
         if len(able) < 2:
             continue
         a[right_order] = np.cumsum(right_shared < length - d)
@@ -155,17 +157,21 @@ def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray
     return least, most
 
 
-def _resolve(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows (group, lowest, highest, doc_id, th, place, unsure, left, context) to covered spans (doc_id, th, i, j)."""
+def _resolve(rows: DataFrame, highest: int, width: int, length: int) -> DataFrame:
+    """Rows (group, base, doc_id, th, place, unsure, left, context) to covered spans (doc_id, th, i, j).
+
+    Compared are the strings of ``width`` bytes of each context; the one that starts d bytes left of the context's
+    middle belongs to the string of ``length`` bytes that starts base + d bytes left of the anchor.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
     def spans(table: pa.Table) -> pa.RecordBatch:
-        col = {c: table.column(c).to_numpy() for c in ("group", "lowest", "highest", "place", "unsure", "left")}
-        least, most = repeated_starts(table.column("context").to_pylist(), col["left"].astype(np.int64), col["group"], col["lowest"], col["highest"], length)
+        col = {c: table.column(c).to_numpy() for c in ("group", "base", "place", "unsure", "left")}
+        least, most = repeated_starts(table.column("context").to_pylist(), col["left"].astype(np.int64), col["group"], highest, width)
         hit = np.flatnonzero((least >= 0) & col["unsure"])
         at = pa.array(hit)
-        place = col["place"].astype(np.int64)[hit]
-        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(at), table.column("th").combine_chunks().take(at), pa.array((place - most[hit]).astype(np.int32)), pa.array((place - least[hit] + length).astype(np.int32))], schema=schema)
+        origin = col["place"].astype(np.int64)[hit] - col["base"].astype(np.int64)[hit]
+        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(at), table.column("th").combine_chunks().take(at), pa.array((origin - most[hit]).astype(np.int32)), pa.array((origin - least[hit] + length).astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -178,7 +184,7 @@ def _resolve(rows: DataFrame, length: int, gram: int) -> DataFrame:
             if size >= SORT_ROWS:
                 table = pa.Table.from_batches(held)
                 group = table.column("group").to_numpy()
-                whole = int(np.searchsorted(group != group[-1], False)) if group[0] == group[-1] else int(np.flatnonzero(group != group[-1])[-1]) + 1
+                whole = 0 if group[0] == group[-1] else int(np.flatnonzero(group != group[-1])[-1]) + 1
                 if whole:
                     yield spans(table.slice(0, whole))
                     held = table.slice(whole).to_batches()
@@ -186,31 +192,62 @@ def _resolve(rows: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield spans(pa.Table.from_batches(held))
 
-    columns = ["group", "lowest", "highest", "doc_id", "th", "place", "unsure", "left", "context"]
+    columns = ["group", "base", "doc_id", "th", "place", "unsure", "left", "context"]
     return rows.select(*columns).repartition("group").sortWithinPartitions("group").mapInArrow(run, "doc_id long, th long, i int, j int")
 
 
-def _keyed(rows: DataFrame, length: int, gram: int, starts: int) -> DataFrame:
-    """For rows (kh, doc_id, th, place, left, context, lowest, highest) a key of what the strings of each run of
-    ``starts`` starting points share; with one starting point the key is of the string itself."""
+def _blocks(rows: DataFrame, length: int, gram: int, starts: int) -> DataFrame:
+    """Rows (doc_id, th, place, unsure, left, context) to one row for each run of ``starts`` starting points.
+
+    ``key`` is of the bytes that the strings of a run share; ``context`` holds only what differs, the bytes left of that
+    part and right of it, as many as a string of the run can reach. Runs cover all starting points; the last two overlap.
+    """
     digest = xxhash.xxh3_64_intdigest
-    schema = pa.schema([("kh", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("unsure", pa.bool_()), ("lowest", pa.int32()), ("highest", pa.int32())])
+    schema = pa.schema([("key", pa.int64()), ("base", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("unsure", pa.bool_()), ("left", pa.int32()), ("context", pa.binary())])
+    last = length - gram + 1 - starts
+    bases = [*range(0, last, starts), last]
+    width = starts - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for kh, doc, th, place, unsure, left, context, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for lo in range(low, high + 1, starts):
-                    hi = min(lo + starts - 1, high)
-                    i, j = left - lo, left + length - hi
+            keys, rows, base, left, ends = [], [], [], [], []
+            for r, (at, context) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
+                for lo in bases:
+                    i, j = at - lo, at + length - lo - width
                     if i >= 0 and j <= len(context):
-                        out.append((kh, digest(context[i:j], lo), doc, th, place, unsure, lo, hi))
-            if out:
-                cols = list(zip(*out, strict=True))
-                cols[1] = np.array(cols[1], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+                        before = min(i, width)
+                        keys.append(digest(context[i:j], lo))
+                        rows.append(r)
+                        base.append(lo)
+                        left.append(before)
+                        ends.append(context[i - before : i] + context[j : j + width])
+            if rows:
+                at = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(base, pa.int32()), *(b.column(c).take(at) for c in range(4)), pa.array(left, pa.int32()), pa.array(ends, pa.binary())], schema=schema)
+
+    return rows.select("doc_id", "th", "place", "unsure", "left", "context").mapInArrow(run, "key long, base int, doc_id long, th long, place int, unsure boolean, left int, context binary")
+
+
+def _strings(rows: DataFrame, starts: int) -> DataFrame:
+    """Rows of ``_blocks`` to one row for each of their strings, with a key of the string: (string, d, doc_id, th, place, unsure)."""
+    digest = xxhash.xxh3_64_intdigest
+    schema = pa.schema([("string", pa.int64()), ("d", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("unsure", pa.bool_())])
+    width = starts - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, rows, starts_at = [], [], []
+            for r, (key, base, left, ends) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 6, 7)), strict=True)):
+                head = key.to_bytes(8, "little", signed=True)
+                for d in range(max(0, width - len(ends) + left), min(width, left) + 1):
+                    keys.append(digest(head + ends[left - d : left + width - d], d))
+                    rows.append(r)
+                    starts_at.append(base + d)
+            if rows:
+                at = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(starts_at, pa.int32()), *(b.column(c).take(at) for c in range(4))], schema=schema)
 
-    return rows.select("kh", "doc_id", "th", "place", "unsure", "left", "context", "lowest", "highest").mapInArrow(run, "kh long, key long, doc_id long, th long, place int, unsure boolean, lowest int, highest int")
+    return rows.select("doc_id", "th", "place", "unsure", "key", "base", "left", "context").mapInArrow(run, "string long, d int, doc_id long, th long, place int, unsure boolean")
 
 
 def _same_row(a: DataFrame, b: DataFrame, *more: str):
@@ -221,21 +258,22 @@ def _same_row(a: DataFrame, b: DataFrame, *more: str):
 
 
 def _split_groups(many: DataFrame, scratch: Scratch, length: int, gram: int, limit: int) -> DataFrame:
-    """Covered spans of contexts whose gram has more contexts than a task may hold."""
-    many = many.withColumns({"lowest": F.lit(0), "highest": F.lit(length - gram)})
-    keyed = scratch.table(_keyed(many, length, gram, STARTS), "blocks")
-    counts = keyed.groupBy("kh", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    alive = scratch.table(keyed.join(counts, ["kh", "key"]), "alive")
-    texts = many.select("doc_id", "th", "place", "left", "context").dropDuplicates(["doc_id", "th", "place"])
-    full = scratch.table(alive.join(texts, _same_row(alive, texts, "place")).select("kh", "key", "n", "lowest", "highest", alive["doc_id"], alive["th"], alive["place"], "unsure", "left", "context"), "blocks-alive")
-    few = _resolve(full.filter(F.col("n") <= limit).withColumn("group", F.xxhash64("kh", "key")), length, gram)
-    single = scratch.table(_keyed(full.filter(F.col("n") > limit), length, gram, 1), "strings")
-    twice = single.groupBy("kh", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spans = single.filter("unsure").join(twice, ["kh", "key"]).groupBy("doc_id", "th", "place").agg(F.min("lowest").alias("a"), F.max("lowest").alias("b"))
-    return few.unionByName(spans.selectExpr("doc_id", "th", "place - b AS i", f"place - a + {length} AS j"))
-
-
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """Covered spans of contexts whose gram has more contexts than are sorted together."""
+    blocks = scratch.table(_blocks(many, length, gram, STARTS), "blocks")
+    counts = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    alive = scratch.table(blocks.join(counts, "key"), "blocks-alive")
+    scratch.drop(blocks)
+    spans = _resolve(alive.filter(F.col("n") <= limit).withColumnRenamed("key", "group"), STARTS - 1, STARTS - 1, length)
+    hot = alive.filter(F.col("n") > limit)
+    if hot.isEmpty():
+        return spans
+    strings = scratch.table(_strings(hot, STARTS), "strings")
+    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string")
+    found = strings.filter("unsure").join(twice, "string").groupBy("doc_id", "th", "place").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    return spans.unionByName(found.selectExpr("doc_id", "th", "place - b AS i", f"place - a + {length} AS j"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT, block_limit: int = BLOCK_LIMIT) -> DataFrame:
     """``(doc_id, n_bytes, removed, kept)`` for every row of ``docs(doc_id, text)``.
 
     ``removed`` lists the maximal runs (i, j) of UTF-8 bytes covered by a string of ``length`` bytes that also starts
@@ -267,11 +305,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     edges = marks.filter(F.size("edge") > 0).select("doc_id", "th", "edge")
     found = scratch.table(_contexts(texts.join(edges, _same_row(texts, edges)).select(texts["doc_id"], texts["th"], "text", "edge"), length, gram), "contexts")
     scratch.release()
-    few = found.filter("NOT many").withColumns({"group": F.col("kh"), "lowest": F.lit(0), "highest": F.lit(length - gram)})
-    spans = _resolve(few, length, gram)
+    few = found.filter("NOT many").withColumns({"group": F.col("kh"), "base": F.lit(0)})
+    spans = _resolve(few, length - gram, length, length)
     many = found.filter("many")
     if not many.isEmpty():
-        spans = spans.unionByName(_split_groups(many, scratch, length, gram, group_limit))
+        spans = spans.unionByName(_split_groups(many, scratch, length, gram, block_limit))
     spans = scratch.table(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "j")).alias("spans")), "spans")
     scratch.drop(found)
     scratch.release()

@@ -208,15 +208,15 @@ def test_repeats_over_table(spark, sf_dir, rows):
     assert sum(g[1] for g in got.values())
 
 
-@pytest.mark.parametrize("limit", [4000, 3])
-def test_repeats_on_overlaps(spark, limit):
+@pytest.mark.parametrize(("limit", "block"), [(4000, 4000), (3, 4000), (3, 3)])
+def test_repeats_on_overlaps(spark, limit, block):
     """Short alphabets, overlapping and hot passages; a low limit sends groups through every way of splitting."""
     rng = random.Random(limit)
     common = "".join(rng.choices("abcd ", k=90))
     texts = ["".join(rng.choices("ab", k=rng.randint(0, 80))) + common[rng.randint(0, 30) : rng.randint(50, 90)] * rng.randint(0, 3) + "".join(rng.choices("ü€x", k=rng.randint(0, 30))) for _ in range(150)]
     texts += [None, "", "q" * 400, common, common, "pq" * 100]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    out = suffix_dedup.digest(suffix_dedup.remove_repeats(frame, length=40, gram=16, group_limit=limit)).collect()
+    out = suffix_dedup.digest(suffix_dedup.remove_repeats(frame, length=40, gram=16, group_limit=limit, block_limit=block)).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
     assert [got[i] for i in range(len(texts))] == brute.repeats(texts, 40)
 
