@@ -1 +1 @@
-"""Representative-subset analytics on Spark DataFrames."""
+"""Representative-subset analytics and corpus preparation on Spark DataFrames."""
