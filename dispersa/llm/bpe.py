@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -21,10 +22,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches, chunks, text_bytes
 
 #: Pieces and token seams that a worker remembers; beyond that it starts afresh, which costs time alone.
-CACHE_PIECES = 600_000
-SEAMS = 500_000
+CACHE_PIECES = 400_000
+SEAMS = 400_000
 #: Characters whose new pieces are encoded together, in order.
-LEARN_CHARS = 4 << 20
+LEARN_CHARS = 1 << 20
 CACHE_PIECE_BYTES = 64
 MAX_RANK_BYTES = 64 << 20
 
@@ -225,6 +226,13 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
+def _id_lists(joined: list[str]) -> pa.Array:
+    """Arrays of ids from decimals joined by commas, without a Python object for each id."""
+    ids = [np.fromstring(j, np.int32, sep=",") for j in joined]
+    ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """``docs`` with ``token_ids`` (array of int), the encoding of ``text``; a column of that name is replaced.
 
@@ -239,8 +247,10 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(*shared.value)
         for b in batches:
-            ids = [list(map(int, joined.split(","))) if joined else [] for joined in own.joined([t or "" for t in b.column(at).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, "token_ids"])
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            for part in chunks([len(t) for t in texts], LEARN_CHARS):
+                rows = b.slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays([*rows.columns, _id_lists(own.joined(texts[part]))], names=[*b.schema.names, "token_ids"])
 
     return docs.mapInArrow(run, schema)
 
@@ -254,10 +264,12 @@ def digest(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         own = encoder(*shared.value)
         for b in batches:
             n, ids, decoded = [], [], []
-            for joined in own.joined([t.decode() for t in b.column(1).to_pylist()]):
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(own.decode_joined(joined)).hexdigest())
+            texts = [t.decode() for t in b.column(1).to_pylist()]
+            for part in chunks([len(t) for t in texts], LEARN_CHARS):
+                for joined in own.joined(texts[part]):
+                    n.append(joined.count(",") + 1 if joined else 0)
+                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(own.decode_joined(joined)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
