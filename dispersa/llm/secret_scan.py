@@ -4,6 +4,9 @@ A worklist starts with the text. Each layer is scanned, then unwrapped in every
 Unicode escapes, base64 runs and compressed streams; what comes out is a further layer until nothing new does. Each
 layer knows which characters of the text each of its own came from, so that a span found in any layer is mapped back.
 A layer seen before at the same place is not taken up again, so a stream that unpacks to itself ends.
+
+Compressed streams are read to their end. One of more than ``LAYER_BYTES`` goes by in windows that overlap by a quarter,
+each scanned and unwrapped before the next is read, so memory does not grow with what a stream holds.
 """
 
 from __future__ import annotations
@@ -13,8 +16,8 @@ import bz2
 import hashlib
 import re
 import zlib
-from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 KINDS = ("assign", "access", "hex")
-#: Bytes that all layers of one text may unpack to, besides 64 times the text's own size; a bomb stops there and is marked.
+#: Bytes of a compressed stream that are held at once; a longer one is read in overlapping windows and marked.
 LAYER_BYTES = 16 << 20
+#: Bytes that a stream is fed, and that it gives, at a time.
+FEED_BYTES, STEP_BYTES = 1 << 10, 1 << 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -54,6 +59,11 @@ class _Layer:
     def __init__(self, text: str, starts: np.ndarray, ends: np.ndarray, path: tuple[str, ...]) -> None:
         self.text, self.starts, self.ends, self.path = text, starts, ends, path
 
+    @classmethod
+    def at(cls, text: str, first: int, last: int, path: tuple[str, ...]) -> _Layer:
+        """A layer all of whose characters came from the same place."""
+        return cls(text, *(np.broadcast_to(np.int64(x), len(text)) for x in (first, last)), path)
+
 
 def _percent(found: str) -> tuple[str, list[int]] | None:
     """A run of percent escapes: its text, and the width in the run of each character."""
@@ -97,24 +107,72 @@ def _rewritten(layer: _Layer, pattern: re.Pattern, decode, name: str) -> _Layer
     return _Layer("".join((*parts, layer.text[at:])), np.concatenate((*starts, layer.starts[at:])), np.concatenate((*ends, layer.ends[at:])), (*layer.path, name))
 
 
-def _unpacked(data: bytes, room: int) -> tuple[str, bytes, bool] | None:
-    """What a compressed stream holds: its kind, the bytes, and whether they exceeded ``room``."""
+def _packing(head: bytes) -> str | None:
+    """The kind of compressed stream that begins with ``head``."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip"
+    if len(head) > 2 and head[0] == 0x78 and (head[0] << 8 | head[1]) % 31 == 0:
+        return "zlib"
+    if head[:3] == b"BZh":
+        return "bzip2"
+    return "zstd" if head[:4] == b"\x28\xb5\x2f\xfd" else None
+
+
+class _Steps:
+    """Bytes that come in steps, read like a file."""
+
+    def __init__(self, steps: Iterator[bytes]) -> None:
+        self.steps, self.rest = steps, b""
+
+    def read(self, n: int) -> bytes:
+        while len(self.rest) < n and (more := next(self.steps, None)) is not None:
+            self.rest += more
+        out, self.rest = self.rest[:n], self.rest[n:]
+        return out
+
+
+def _unpacked(kind: str, source: Callable[[], Iterator[bytes]]) -> Iterator[bytes]:
+    """What the compressed bytes of ``source`` hold, in steps; a broken stream ends where it breaks."""
     try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-            d = zlib.decompressobj(47)
-            out = d.decompress(data, room)
-            return ("gzip" if data[0] == 0x1F else "zlib"), out, bool(d.unconsumed_tail)
-        if data[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, room)
-            return "bzip2", out, not d.eof and not d.needs_input
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(room + 1)
-            return "zstd", out[:room], len(out) > room
+        if kind == "zstd":
+            with zstandard.ZstdDecompressor().stream_reader(_Steps(source()), read_size=FEED_BYTES, read_across_frames=True) as r:
+                while out := r.read1(STEP_BYTES):
+                    yield out
+            return
+        make = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bzip2": bz2.BZ2Decompressor}[kind]
+        d = make()
+        for data in source():
+            for i in range(0, len(data), FEED_BYTES):
+                feed = data[i : i + FEED_BYTES]
+                while True:
+                    out = d.decompress(feed, STEP_BYTES)
+                    if out:
+                        yield out
+                    if d.eof:
+                        feed, d = d.unused_data, make()
+                        if not feed:
+                            break
+                    else:
+                        feed = b"" if kind == "bzip2" else d.unconsumed_tail
+                        if not out and not feed:
+                            break
     except (zlib.error, OSError, zstandard.ZstdError, EOFError, ValueError):
-        return None
-    return None
+        return
+
+
+def _windows(steps: Iterator[bytes], size: int) -> Iterator[tuple[bytes, bool]]:
+    """All bytes in windows of about ``size`` that overlap by a quarter, and whether there are several."""
+    held, several, fresh = bytearray(), False, False
+    for more in steps:
+        held += more
+        fresh = True
+        if len(held) > size:
+            several = True
+            yield bytes(held), True
+            del held[: len(held) - size // 4]
+            fresh = False
+    if fresh:
+        yield bytes(held), several
 
 
 def _readable(data: bytes) -> str | None:
@@ -125,8 +183,24 @@ def _readable(data: bytes) -> str | None:
     return None if _CONTROL.search(text) else text
 
 
-def _base64_layers(layer: _Layer, room: int, seen: set) -> Iterator[tuple[_Layer, int, bool]]:
-    """The layers that base64 runs hold, the bytes each took, and whether it was cut."""
+def _streams(data: bytes, first: int, last: int, path: tuple[str, ...], size: int, seen: dict) -> Iterator[tuple[_Layer, bool]]:
+    """The layers of a compressed stream and of those it consists of, and whether each is a window of a longer one."""
+    source = lambda: iter((data,))
+    key = (hashlib.sha256(data).digest(), first, last)
+    while seen.get(key, len(path) + 1) > len(path) and (kind := _packing(_Steps(source()).read(4))):
+        seen[key] = len(path)
+        source, path, digest = partial(_unpacked, kind, source), (*path, kind), hashlib.sha256()
+        for window, several in _windows(source(), size):
+            text = window.decode("utf-8", "replace") if several else _readable(window)
+            if text:
+                yield _Layer.at(text, first, last, path), several
+        for step in source():
+            digest.update(step)
+        key = (digest.digest(), first, last)
+
+
+def _base64_layers(layer: _Layer, size: int, seen: dict) -> Iterator[tuple[_Layer, bool]]:
+    """The layers that base64 runs hold, and whether each is a window of a longer stream."""
     runs = {m.span(): m.group() for m in _BASE64.finditer(layer.text)}
     if "-" in layer.text or "_" in layer.text:
         runs |= {m.span(): m.group() for m in _BASE64_URL.finditer(layer.text) if "-" in m.group() or "_" in m.group()}
@@ -138,69 +212,65 @@ def _base64_layers(layer: _Layer, room: int, seen: set) -> Iterator[tuple[_Layer
             data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
         except ValueError:
             continue
-        path, cut, first, last = (*layer.path, "base64"), False, int(layer.starts[i]), int(layer.ends[i + len(body) - 1])
-        packed = False
-        while (more := _unpacked(data, max(0, room))) is not None and not cut:
-            kind, data, cut = more
-            packed, path = True, (*path, kind)
-            key = (hashlib.sha256(data).digest(), first, last)
-            if key in seen:
-                break
-            seen.add(key)
-            room -= len(data)
-        text = data.decode("utf-8", "replace") if cut else _readable(data)
-        if not text:
-            continue
-        if packed:
-            starts, ends = np.full(len(text), first, np.int64), np.full(len(text), last, np.int64)
-        else:
+        path = (*layer.path, "base64")
+        text = _readable(data)
+        if text:
             stops = np.cumsum([len(c.encode()) for c in text])
             begin = np.concatenate(([0], stops[:-1]))
-            starts, ends = layer.starts[i + begin * 4 // 3], layer.ends[i + np.minimum(-(-stops * 4 // 3), len(body)) - 1]
-        yield _Layer(text, starts, ends, path), len(data), cut
+            yield _Layer(text, layer.starts[i + begin * 4 // 3], layer.ends[i + np.minimum(-(-stops * 4 // 3), len(body)) - 1], path), False
+        if _packing(data[:4]):
+            yield from _streams(data, int(layer.starts[i]), int(layer.ends[i + len(body) - 1]), path, size, seen)
 
 
-def find(text: str, layer_bytes: int = LAYER_BYTES) -> tuple[list[tuple[str, int, int, str]], bool]:
-    """Spans ``(kind, start, end, via)`` of a text and of all its layers, and whether unpacking met the byte bound.
+def _inner(layer: _Layer, size: int, seen: dict) -> Iterator[tuple[_Layer, bool]]:
+    """All layers that one layer unwraps to, one after the other."""
+    yield from _base64_layers(layer, size, seen)
+    if "%" in layer.text and (x := _rewritten(layer, _PERCENT, _percent, "url")):
+        yield x, False
+    if ("\\" in layer.text or "&#" in layer.text) and (x := _rewritten(layer, _ESCAPE, _escape, "unicode")):
+        yield x, False
 
-    ``via`` names the decodings a span lies under, joined by ``>``, and is empty for base matches. A span that several
-    layers show is listed once, with the fewest decodings.
-    """
+
+def _find(text: str, layer_bytes: int = LAYER_BYTES) -> tuple[list[tuple[str, int, int, str]], set[tuple[int, int]]]:
+    """Spans as of ``find``, and the places ``(start, end)`` of streams that were read in windows."""
     base = scan(text)
-    spans = {s: "" for s in base}
-    if not ("%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or _BASE64_URL.search(text)):
-        return _ordered(spans), False
-    offsets = np.arange(len(text) + 1, dtype=np.int64)
-    work = deque([_Layer(text, offsets[:-1], offsets[1:], ())])
-    seen: set = set()
-    room, cut = layer_bytes + 64 * len(text), False
-    while work:
-        layer = work.popleft()
-        if layer.path:
-            for kind, i, j in scan(layer.text):
-                spans.setdefault((kind, int(layer.starts[i]), int(layer.ends[j - 1])), ">".join(layer.path))
-        found = []
-        if "%" in layer.text:
-            found.append(_rewritten(layer, _PERCENT, _percent, "url"))
-        if "\\" in layer.text or "&#" in layer.text:
-            found.append(_rewritten(layer, _ESCAPE, _escape, "unicode"))
-        for inner, size, was_cut in _base64_layers(layer, room, seen):
-            found.append(inner)
-            room -= size
-            cut |= was_cut
-        for x in found:
-            if x is None or not x.text:
+    paths: dict = {s: () for s in base}
+    long: set[tuple[int, int]] = set()
+    if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or _BASE64_URL.search(text):
+        offsets = np.arange(len(text) + 1, dtype=np.int64)
+        streams: dict = {}
+        seen: dict = {}
+        work = [_inner(_Layer(text, offsets[:-1], offsets[1:], ()), layer_bytes, streams)]
+        while work:
+            layer, several = next(work[-1], (None, False))
+            if layer is None:
+                work.pop()
                 continue
-            key = (hashlib.sha256(x.text.encode("utf-8", "surrogatepass")).digest(), int(x.starts[0]), int(x.ends[-1]), len(x.path) if room <= 0 else 0)
-            if key in seen:
+            if not layer.text:
                 continue
-            seen.add(key)
-            room -= len(x.text)
-            if room <= 0:
-                cut = True
+            if several:
+                long.add((int(layer.starts[0]), int(layer.ends[-1])))
+            key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), int(layer.starts[0]), int(layer.ends[-1]))
+            if seen.get(key, len(layer.path) + 1) <= len(layer.path):
                 continue
-            work.append(x)
-    return _ordered(spans), cut
+            seen[key] = len(layer.path)
+            for kind, i, j in scan(layer.text):
+                span = (kind, int(layer.starts[i]), int(layer.ends[j - 1]))
+                if len(paths.get(span, (*layer.path, ""))) > len(layer.path):
+                    paths[span] = layer.path
+            work.append(_inner(layer, layer_bytes, streams))
+    return _ordered({s: ">".join(p) for s, p in paths.items()}), long
+
+
+def find(text: str, layer_bytes: int = LAYER_BYTES) -> tuple[list[tuple[str, int, int, str]], bool]:
+    """Spans ``(kind, start, end, via)`` of a text and of all its layers, and whether a stream was read in windows.
+
+    ``via`` names the decodings a span lies under, joined by ``>``, and is empty for base matches. A span that several
+    layers show is listed once, with the fewest decodings. In a stream of more than ``layer_bytes`` an encoded run of
+    more than a quarter of that is unwrapped in parts if it lies across two windows.
+    """
+    spans, long = _find(text, layer_bytes)
+    return spans, bool(long)
 
 
 def _ordered(spans: dict) -> list[tuple[str, int, int, str]]:
@@ -228,7 +298,7 @@ def find_secrets(docs: DataFrame, layer_bytes: int = LAYER_BYTES) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded)``: counts and digest of base matches, all spans."""
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_decoded, secrets_cut)``: counts and digest of base matches, all spans, and the mark of ``find``."""
 
     def joined(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -236,11 +306,14 @@ def digest(docs: DataFrame) -> DataFrame:
     found = find_secrets(docs.select("doc_id", "text")).drop("text")
     base = F.filter("secrets", lambda s: s["via"] == "")
     counts = [F.expr(f"cast(size(filter(secrets, s -> s.via = '' AND s.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), F.size(F.filter("secrets", lambda s: s["via"] != "")).cast("long").alias("n_decoded"))
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), F.size(F.filter("secrets", lambda s: s["via"] != "")).cast("long").alias("n_decoded"), "secrets_cut")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with every span found put out of ``text``: overlapping spans become one ``mark``; other texts stay as they are."""
+    """``docs`` with every span found put out of ``text``: overlapping spans become one ``mark``; other texts stay as they are.
+
+    Runs that hold a stream read in windows are put out as well, for not all that is encoded in them need be found.
+    """
     bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
@@ -248,7 +321,8 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         if not text:
             return text
         out, end = [], 0
-        for _, i, j, _ in find(text)[0]:
+        spans, long = _find(text)
+        for i, j in sorted([*((i, j) for _, i, j, _ in spans), *long]):
             if i >= end:
                 out += [text[end:i], mark]
             end = max(end, j)
