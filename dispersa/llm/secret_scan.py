@@ -5,7 +5,8 @@ Unicode escapes, base64 runs and compressed streams; what comes out is a further
 layer knows which characters of the text each of its own came from, so that a span found in any layer is mapped back.
 A layer seen before at the same place is not taken up again, so a stream that unpacks to itself ends.
 
-Compressed streams are read to their end. One of more than ``LAYER_BYTES`` goes by in windows that overlap by a quarter,
+Bytes that are not UTF-8 are taken as Latin-1, so no layer is left out for what else stands in it, and ASCII in UTF-16 or
+UTF-32 is a further layer. Compressed streams are read to their end. One of more than ``LAYER_BYTES`` goes by in windows that overlap by a quarter,
 each scanned and unwrapped before the next is read, so memory does not grow with what a stream holds.
 """
 
@@ -40,7 +41,8 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 _BASE64_URL = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+_WIDE_CHARACTER = re.compile(r"[^\x00](?:\x00\x00\x00|\x00)")
+_WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e](?:\x00\x00\x00|\x00)){6,}")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -65,13 +67,24 @@ class _Layer:
         return cls(text, *(np.broadcast_to(np.int64(x), len(text)) for x in (first, last)), path)
 
 
-def _percent(found: str) -> tuple[str, list[int]] | None:
-    """A run of percent escapes: its text, and the width in the run of each character."""
+def _decoded(data: bytes) -> tuple[str, list[int]]:
+    """Bytes as text, and the bytes of each character: UTF-8 or else Latin-1, which takes any byte."""
     try:
-        text = bytes.fromhex(found.replace("%", "")).decode()
+        text = data.decode()
     except UnicodeDecodeError:
-        return None
-    return text, [3 * len(c.encode()) for c in text]
+        return data.decode("latin-1"), [1] * len(data)
+    return text, [1] * len(text) if len(text) == len(data) else [len(c.encode()) for c in text]
+
+
+def _percent(found: str) -> tuple[str, list[int]]:
+    """A run of percent escapes: its text, and the width in the run of each character."""
+    text, widths = _decoded(bytes.fromhex(found.replace("%", "")))
+    return text, [3 * n for n in widths]
+
+
+def _wide(found: str) -> tuple[str, list[int]]:
+    """A run of ASCII in UTF-16 or UTF-32."""
+    return found.replace("\x00", ""), [len(x) for x in _WIDE_CHARACTER.findall(found)]
 
 
 def _escape(found: str) -> tuple[str, list[int]] | None:
@@ -175,14 +188,6 @@ def _windows(steps: Iterator[bytes], size: int) -> Iterator[tuple[bytes, bool]]:
         yield bytes(held), several
 
 
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else text
-
-
 def _streams(data: bytes, first: int, last: int, path: tuple[str, ...], size: int, seen: dict) -> Iterator[tuple[_Layer, bool]]:
     """The layers of a compressed stream and of those it consists of, and whether each is a window of a longer one."""
     source = lambda: iter((data,))
@@ -191,9 +196,7 @@ def _streams(data: bytes, first: int, last: int, path: tuple[str, ...], size: in
         seen[key] = len(path)
         source, path, digest = partial(_unpacked, kind, source), (*path, kind), hashlib.sha256()
         for window, several in _windows(source(), size):
-            text = window.decode("utf-8", "replace") if several else _readable(window)
-            if text:
-                yield _Layer.at(text, first, last, path), several
+            yield _Layer.at(_decoded(window)[0], first, last, path), several
         for step in source():
             digest.update(step)
         key = (digest.digest(), first, last)
@@ -213,11 +216,10 @@ def _base64_layers(layer: _Layer, size: int, seen: dict) -> Iterator[tuple[_Laye
         except ValueError:
             continue
         path = (*layer.path, "base64")
-        text = _readable(data)
-        if text:
-            stops = np.cumsum([len(c.encode()) for c in text])
-            begin = np.concatenate(([0], stops[:-1]))
-            yield _Layer(text, layer.starts[i + begin * 4 // 3], layer.ends[i + np.minimum(-(-stops * 4 // 3), len(body)) - 1], path), False
+        text, widths = _decoded(data)
+        stops = np.cumsum(widths)
+        begin = np.concatenate(([0], stops[:-1]))
+        yield _Layer(text, layer.starts[i + begin * 4 // 3], layer.ends[i + np.minimum(-(-stops * 4 // 3), len(body)) - 1], path), False
         if _packing(data[:4]):
             yield from _streams(data, int(layer.starts[i]), int(layer.ends[i + len(body) - 1]), path, size, seen)
 
@@ -227,6 +229,8 @@ def _inner(layer: _Layer, size: int, seen: dict) -> Iterator[tuple[_Layer, bool]
     yield from _base64_layers(layer, size, seen)
     if "%" in layer.text and (x := _rewritten(layer, _PERCENT, _percent, "url")):
         yield x, False
+    if layer.path and "\x00" in layer.text and (x := _rewritten(layer, _WIDE, _wide, "wide")):
+        yield x, False
     if ("\\" in layer.text or "&#" in layer.text) and (x := _rewritten(layer, _ESCAPE, _escape, "unicode")):
         yield x, False
 

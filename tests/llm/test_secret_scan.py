@@ -39,3 +39,24 @@ def test_long_streams(spark, kind):
 def test_streams_one_after_the_other(kind):
     run = coded(b"".join(PACKERS[kind](x) for x in (b"some words\n", SECRET.encode())))
     assert ("assign", 0, len(run)) in [s[:3] for s in secret_scan.find(run)[0]]
+
+
+ODD = {
+    "NUL padding": SECRET.encode() + bytes(100),
+    "colours": b"\x1b[31m" + SECRET.encode() + b"\x1b[0m",
+    "Latin-1": "Schlüssel ".encode("latin-1") + SECRET.encode(),
+    "a stray byte": b"\xff " + SECRET.encode(),
+    "UTF-16": f"für {SECRET}".encode("utf-16"),
+    "UTF-16 big-endian": f"für {SECRET} für".encode("utf-16-be"),
+    "UTF-32": SECRET.encode("utf-32"),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_bytes_that_are_not_plain_text(name):
+    data = ODD[name]
+    for text in (coded(data), coded(gzip.compress(data)), "".join(f"%{x:02x}" for x in data)):
+        spans, cut = secret_scan.find(f"davor {text} danach")
+        assert not cut and any(k == "assign" and 6 <= i < j <= 6 + len(text) for k, i, j, _ in spans)
+    at = data.find(b"p")
+    assert any((i, j) == (6 + 3 * at, 6 + 3 * (data.rfind(b"2") + 1)) for _, i, j, _ in spans) or name.startswith("UTF")
