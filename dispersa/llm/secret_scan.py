@@ -5,6 +5,7 @@ Unicode escapes, base64 runs and compressed streams; what comes out is a further
 layer knows which characters of the text each of its own came from, so that a span found in any layer is mapped back.
 A layer seen before at the same place is not taken up again, so a stream that unpacks to itself ends.
 
+Base64 runs are joined over line breaks and decoded at every alignment, as other characters may be glued to their front.
 Bytes that are not UTF-8 are taken as Latin-1, so no layer is left out for what else stands in it, and ASCII in UTF-16 or
 UTF-32 is a further layer. Compressed streams are read to their end. One of more than ``LAYER_BYTES`` goes by in windows that overlap by a quarter,
 each scanned and unwrapped before the next is read, so memory does not grow with what a stream holds.
@@ -41,6 +42,13 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}")
 _BASE64_URL = re.compile(r"[A-Za-z0-9_-]{16,}={0,2}")
+#: Runs over line breaks and indentation, breaks written as escapes included. A run is entered at its first character only.
+_BREAK = re.compile(r"[ \t]*+(?:(?:\r\n|\r|\n|(?:\\r)?\\n)[ \t]*+)++")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)++")
+#: How the magic bytes of compressed streams begin in base64.
+_PACKED = re.compile(r"H4sI|Qlpo|KLUv/|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]")
+#: Without one of these, decoded bytes hold neither a match nor anything to unwrap.
+_HOT = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUxnr]|&#|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-]{4}[ \t]*+[\r\n]|(?:[\t\n\r\x20-\x7e]\x00){6}|(?:[\t\n\r\x20-\x7e]\x00\x00\x00){6}")
 _WIDE_CHARACTER = re.compile(r"[^\x00](?:\x00\x00\x00|\x00)")
 _WIDE = re.compile(r"(?:[\t\n\r\x20-\x7e](?:\x00\x00\x00|\x00)){6,}")
 
@@ -202,26 +210,65 @@ def _streams(data: bytes, first: int, last: int, path: tuple[str, ...], size: in
         key = (digest.digest(), first, last)
 
 
-def _base64_layers(layer: _Layer, size: int, seen: dict) -> Iterator[tuple[_Layer, bool]]:
-    """The layers that base64 runs hold, and whether each is a window of a longer stream."""
-    runs = {m.span(): m.group() for m in _BASE64.finditer(layer.text)}
-    if "-" in layer.text or "_" in layer.text:
-        runs |= {m.span(): m.group() for m in _BASE64_URL.finditer(layer.text) if "-" in m.group() or "_" in m.group()}
-    for (i, _), run in runs.items():
-        body = run.rstrip("=")
-        if len(body) % 4 == 1:
-            body = body[:-1]
+def _runs(text: str) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Base64 runs, joined over line breaks as well, in the usual alphabet, and the pieces of the text they consist of."""
+    spans = {m.span() for m in _BASE64.finditer(text)}
+    if "-" in text or "_" in text:
+        spans |= {m.span() for m in _BASE64_URL.finditer(text)}
+    found = [[x] for x in sorted(spans)]
+    for m in _WRAPPED.finditer(text):
+        at, pieces = m.start(), []
+        for x in _BREAK.finditer(text, *m.span()):
+            pieces.append((at, x.start()))
+            at = x.end()
+        found.append([*pieces, (at, m.end())])
+    for pieces in found:
+        body = "".join(text[i:j] for i, j in pieces).rstrip("=").replace("-", "+").replace("_", "/")
+        if len(body) >= 16:
+            yield body, pieces
+
+
+def _bytes(body: str) -> bytes:
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _begins(body: str) -> bool:
+    """Whether a stream may begin here: zlib has a short mark, found by chance, but most such streams break early."""
+    if body[0] == "e":
         try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except ValueError:
-            continue
-        path = (*layer.path, "base64")
-        text, widths = _decoded(data)
-        stops = np.cumsum(widths)
-        begin = np.concatenate(([0], stops[:-1]))
-        yield _Layer(text, layer.starts[i + begin * 4 // 3], layer.ends[i + np.minimum(-(-stops * 4 // 3), len(body)) - 1], path), False
-        if _packing(data[:4]):
-            yield from _streams(data, int(layer.starts[i]), int(layer.ends[i + len(body) - 1]), path, size, seen)
+            zlib.decompressobj().decompress(_bytes(body[:4096]), 1)
+        except zlib.error:
+            return False
+    return True
+
+
+def _base64_layers(layer: _Layer, size: int, seen: dict) -> Iterator[tuple[_Layer, bool]]:
+    """The layers that base64 runs hold, and whether each is a window of a longer stream.
+
+    What precedes a run may be glued to it, so each is decoded at all four offsets and from every mark of a stream.
+    """
+    path = (*layer.path, "base64")
+    for body, pieces in _runs(layer.text):
+        places = None
+        for k in range(4):
+            data = _bytes(body[k:])
+            if not _HOT.search(data):
+                continue
+            text, widths = _decoded(data)
+            if not layer.starts.strides[0]:
+                yield _Layer.at(text, int(layer.starts[0]), int(layer.ends[0]), path), False
+                continue
+            if places is None:
+                places = np.concatenate([np.arange(i, j) for i, j in pieces])[: len(body)]
+            stops = np.cumsum(widths)
+            begin = np.concatenate(([0], stops[:-1]))
+            yield _Layer(text, layer.starts[places[k + begin * 4 // 3]], layer.ends[places[np.minimum(k - (-stops * 4 // 3), len(body)) - 1]], path), False
+        for m in _PACKED.finditer(body):
+            if _begins(body[m.start() :]):
+                if places is None:
+                    places = np.concatenate([np.arange(i, j) for i, j in pieces])[: len(body)]
+                yield from _streams(_bytes(body[m.start() :]), int(layer.starts[places[m.start()]]), int(layer.ends[places[-1]]), path, size, seen)
 
 
 def _inner(layer: _Layer, size: int, seen: dict) -> Iterator[tuple[_Layer, bool]]:
@@ -240,7 +287,7 @@ def _find(text: str, layer_bytes: int = LAYER_BYTES) -> tuple[list[tuple[str, in
     base = scan(text)
     paths: dict = {s: () for s in base}
     long: set[tuple[int, int]] = set()
-    if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or _BASE64_URL.search(text):
+    if "%" in text or "\\" in text or "&#" in text or _BASE64.search(text) or _BASE64_URL.search(text) or _WRAPPED.search(text):
         offsets = np.arange(len(text) + 1, dtype=np.int64)
         streams: dict = {}
         seen: dict = {}

@@ -28,8 +28,9 @@ def test_long_streams(spark, kind):
         text, n = f"{run} {url} {inner}", len(run)
         spans, cut = secret_scan.find(text)
         assert cut
-        assert [s[:3] for s in spans] == [("assign", 0, n), ("assign", n + 1, n + 1 + len(url)), ("assign", n + 2 + len(url), len(text))]
-        assert spans[0][3] == f"base64>{kind}>{kind}{via}"
+        outer = [s for s in spans if not 0 < s[1] < n]  # zstd stores what does not repeat as it is, so it shows there as well
+        assert [s[:3] for s in outer] == [("assign", 0, n), ("assign", n + 1, n + 1 + len(url)), ("assign", n + 2 + len(url), len(text))]
+        assert outer[0][3] == (f"base64>{kind}>{kind}{via}" if kind != "zstd" or via else "base64>zstd")
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secret_scan.digest(frame).head().secrets_cut
     assert secret_scan.redact(frame).head().text == "[secret] [secret] [secret]"
@@ -60,3 +61,38 @@ def test_bytes_that_are_not_plain_text(name):
         assert not cut and any(k == "assign" and 6 <= i < j <= 6 + len(text) for k, i, j, _ in spans)
     at = data.find(b"p")
     assert any((i, j) == (6 + 3 * at, 6 + 3 * (data.rfind(b"2") + 1)) for _, i, j, _ in spans) or name.startswith("UTF")
+
+
+LONG = " ".join(f"line{i * i}" for i in range(40))
+BREAKS = ["\n", "\r\n", "\n    ", " \n\t", "\\n", "\\r\\n", "\n\n"]
+
+
+@pytest.mark.parametrize("columns", [5, 10, 64, 76])
+@pytest.mark.parametrize("line", BREAKS)
+def test_wrapped_base64(line, columns):
+    for data in (f"{LONG} {SECRET} {LONG}".encode(), *(f(f"{LONG} {SECRET}".encode()) for f in PACKERS.values())):
+        run = coded(data)
+        run = line.join(run[i : i + columns] for i in range(0, len(run), columns))
+        for before in ("key: ", "-----BEGIN DATA-----\n", "A last word\n"):
+            spans, cut = secret_scan.find(before + run)
+            assert not cut and any(k == "assign" and len(before) <= i < j <= len(before) + len(run) for k, i, j, _ in spans)
+
+
+@pytest.mark.parametrize("before", ["x/y/", "a/", "blob_", "id-", "x", "ab", "abc", "abcd", "v1+"])
+def test_base64_glued_to_what_precedes(before):
+    for data in (SECRET.encode(), *(f(SECRET.encode()) for f in PACKERS.values())):
+        run = coded(data)
+        spans = secret_scan.find(before + run)[0]
+        assert any((k, i, j) == ("assign", len(before), len(before) + len(run)) for k, i, j, _ in spans)
+
+
+def test_places_in_wrapped_runs():
+    run = coded(f"{'x' * 60} {SECRET}; {'y' * 60}".encode())
+    text = f"davor\n\n  {run[:76]}\n  {run[76:152]}\n  {run[152:]} danach"
+    first, last = 61 * 4 // 3, -(-(61 + len(SECRET)) * 4 // 3) - 1
+    place = lambda k: 9 + k + 3 * (k // 76)
+    assert ("assign", place(first), place(last) + 1) in [s[:3] for s in secret_scan.find(text)[0]]
+
+
+def test_long_runs_take_time_in_proportion():
+    assert secret_scan.find("A" * 1_000_000 + "\n" + "Ab1 " * 100_000) == ([], False)
