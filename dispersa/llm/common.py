@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,21 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: A key of more rows than this is hot; of the hot keys so many at most are joined by broadcast, the hottest first.
+HOT_ROWS, HOT_KEYS = 1000, 10_000
+_ODD = 0x9E3779B97F4A7C15 | 1
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd 64-bit number and of its inverse, for hashes of substrings from running sums."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]))
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +84,11 @@ class Scratch:
         self._n = 0
         atexit.register(self._remove, self.root)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         """Writes ``df`` and reads it back; shuffle files of what made it may then go."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -92,3 +108,17 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session has ended: its folder goes with it
             return
+
+
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, scratch: Scratch, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, a written table with one row for each key that says in ``count`` how many rows of ``left`` have it.
+
+    A hot key would bring all its rows to one task, so the ``HOT_KEYS`` keys of most rows, if of more than ``HOT_ROWS``,
+    are joined by broadcast, where their rows lie. All other keys are shuffled: none has more rows than any of those.
+    """
+    hot = scratch.table(right.filter(F.col(count) > HOT_ROWS).orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, how)
+    named = F.broadcast(hot.select(*keys))
+    rest = left.join(named, keys, "left_anti").join(right.join(named, keys, "left_anti"), keys, how)
+    return left.join(F.broadcast(hot), keys).unionByName(rest)

@@ -20,30 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, chunks
+from .common import Scratch, bound_batches, chunks, powers
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
 BROADCAST_BYTES = 32 << 20
 SHARD_BYTES = 2 << 20
-_ODD = 0x9E3779B97F4A7C15 | 1
 
 _WORD = np.zeros(256, bool)
 _WORD[0x30:0x3A] = _WORD[0x41:0x5B] = _WORD[0x61:0x7B] = True
 _WORD[0x80:] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, 2 * len(_POWERS[0]))
-        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +39,7 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     low = _LOWER[data]
     edge = np.diff(np.concatenate(([False], _WORD[data], [False])).view(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts] if len(starts) else np.empty(0, np.uint64)

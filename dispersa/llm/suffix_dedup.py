@@ -2,17 +2,17 @@
 
 Two equal strings of ``length`` bytes have the same smallest hash among their ``gram``-byte substrings, so both hold an
 anchor at the same place. Only anchors, about two in each ``length - gram + 2`` bytes, are candidates. An anchor's
-context is all that a string of that length around it can reach. A context that occurs twice is repeated throughout,
-which counts of hashes settle; one that is unique, though its gram is not, stands at the edge of a repetition, and only
-such contexts are compared byte by byte: the suffixes to the right of the anchors and the reversed ones to the left are
-put in order by deep-shallow sorting, and a string that starts d bytes left of its anchor is repeated if and only if
-another context has d bytes in common to the left and ``length - d`` to the right, both of which are ranges of equal
-class in the two suffix arrays.
+context is all that a string of that length around it can reach. Equal contexts are brought together by 128 bits of
+hash, so that each distinct one is sorted once: those that occur twice are repeated throughout, and one of each stands
+for all. A context that is unique, though its gram is not, lies at the edge of a repetition; it is compared byte by byte
+with the others of its gram. The suffixes to the right of the anchors and the reversed ones to the left are put in order
+by deep-shallow sorting, and a string that starts d bytes left of its anchor is repeated if and only if another context
+has d bytes in common to the left and ``length - d`` to the right: both are ranges of equal class in the two suffix arrays.
 
 A gram with more than ``group_limit`` different contexts is split by the part that all strings within 18 starting points
-share, of which only the few bytes on either side are then compared; where more than ``block_limit`` contexts share that
-part too, the strings themselves are counted, which needs no sorting. So a task sorts so many rows of one group at most,
-and every repetition is found.
+share (128 bits of hash again), of which only the few bytes on either side are then sorted. Where more than
+``block_limit`` contexts share that part too, the strings themselves are grouped by that hash and their other bytes. So
+a task sorts a bounded number of rows of one group, and every repetition is found whatever its group's size.
 """
 
 from __future__ import annotations
@@ -25,17 +25,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, chunks, text_bytes
-from .decontam import _powers
+from .common import Scratch, bound_batches, chunks, join_unique, powers, text_bytes
 from .suffix_sort import deep_shallow_sort
 
 LENGTH = 200
 GRAM = 64
 GROUP_LIMIT = 256
-BLOCK_LIMIT = 1 << 16
+BLOCK_LIMIT = 4096
 STARTS = 18
 PIECE_BYTES = 128 << 10
 SORT_ROWS = 8192
+#: Rows and bytes that a task holds before it gives them out.
+HELD_ROWS, HELD_BYTES = 1 << 15, 2 << 20
 
 
 def _slide(a: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -51,7 +52,7 @@ def _anchors_of(pieces: list[bytes], length: int, gram: int) -> list[np.ndarray]
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces])
     starts = np.cumsum(sizes) - sizes
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64, out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]
@@ -92,41 +93,105 @@ def _context(text: bytes, place: int, length: int, gram: int) -> tuple[int, byte
     return left, text[place - left : place + length]
 
 
+class _Rows:
+    """Rows on their way into batches of bounded size."""
+
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema, self.rows, self.size = schema, [], 0
+
+    def add(self, row: tuple, size: int = 0) -> bool:
+        """Whether it is time to take a batch."""
+        self.rows.append(row)
+        self.size += size
+        return self.size >= HELD_BYTES or len(self.rows) >= HELD_ROWS
+
+    def take(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else [()] * len(self.schema)
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+        self.rows, self.size = [], 0
+        return out
+
+
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    schema = pa.schema([("kh", pa.int64()), ("ch", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32())])
-    digest = xxhash.xxh3_64_intdigest
+    """One row for each anchor. ``a`` and ``b`` identify its context: 48 bits of hash of the gram, above 80 of the context.
+
+    ``fresh`` marks the first place of a context in a text.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("fresh", pa.bool_())])
+    low = np.uint64(0xFFFF)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            grams, whole, rows, at, fresh = [], [], [], [], []
+
+            def take(b=b):
+                index = pa.array(rows, pa.int32())
+                h = np.frombuffer(b"".join(whole), "<u8").reshape(-1, 2)
+                a = np.array(grams, np.uint64) & ~low | h[:, 1] & low
+                out = pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(h[:, 0].copy().view(np.int64)), b.column(0).take(index), b.column(1).take(index), pa.array(at, pa.int32()), pa.array(fresh, pa.bool_())], schema=schema)
+                for held in (grams, whole, rows, at, fresh):
+                    held.clear()
+                return out
+
             texts = b.column(2).to_pylist()
-            kh, ch, rows, at = [], [], [], []
             for r, (text, places) in enumerate(zip(texts, anchor_places(texts, length, gram), strict=True)):
+                seen = set()
                 for p in places.tolist():
                     left, context = _context(text, p, length, gram)
-                    kh.append(digest(text[p : p + gram]))
-                    ch.append(digest(context, left))
-                rows += [r] * len(places)
-                at.append(places)
+                    key = xxhash.xxh3_128_digest(context, left)
+                    grams.append(xxhash.xxh3_64_intdigest(text[p : p + gram]))
+                    whole.append(key)
+                    rows.append(r)
+                    at.append(p)
+                    fresh.append(key not in seen)
+                    seen.add(key)
+                    if len(rows) >= HELD_ROWS:
+                        yield take()
             if rows:
-                index = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(kh, np.uint64).view(np.int64)), pa.array(np.array(ch, np.uint64).view(np.int64)), b.column(0).take(index), b.column(1).take(index), pa.array(np.concatenate(at).astype(np.int32))], schema=schema)
+                yield take()
+
+    return docs.mapInArrow(run, "a long, b long, doc_id long, th long, place int, fresh boolean")
+
 
-    return docs.mapInArrow(run, "kh long, ch long, doc_id long, th long, place int")
+_WORK = "many boolean, group long, sub long, base int, doc_id long, th long, place int, unsure boolean, left int, context binary"
 
 
-def _contexts(marked: DataFrame, length: int, gram: int) -> DataFrame:
-    """From rows (doc_id, th, text, edge) the contexts named in ``edge``."""
-    schema = pa.schema([("kh", pa.int64()), ("many", pa.bool_()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("unsure", pa.bool_()), ("left", pa.int32()), ("context", pa.binary())])
+def _contexts(marked: DataFrame, length: int, gram: int, starts: int) -> DataFrame:
+    """From rows (doc_id, th, text, edge) what is to be sorted.
+
+    An anchor of a gram with few contexts gives its context, in the group of its gram. One of a gram with ``many`` gives
+    a row for each run of ``starts`` starting points: the group is of the bytes that the strings of a run share, and
+    ``context`` holds only what differs, the bytes left of that part and right of it, as many as a string of the run can
+    reach. Runs cover all starting points; the last two overlap.
+    """
+    types = {"many": pa.bool_(), "group": pa.int64(), "sub": pa.int64(), "base": pa.int32(), "doc_id": pa.int64(), "th": pa.int64(), "place": pa.int32(), "unsure": pa.bool_(), "left": pa.int32(), "context": pa.binary()}
+    last = length - gram + 1 - starts
+    bases = [*range(0, last, starts), last]
+    width = starts - 1
+
+    def rows_of(doc: int | None, th: int, text: bytes, e: dict) -> Iterator[tuple]:
+        left, context = _context(text, e["place"], length, gram)
+        if not e["many"]:
+            yield False, e["k"], 0, 0, doc, th, e["place"], e["unsure"], left, context
+            return
+        for lo in bases:
+            i, j = left - lo, left + length - lo - width
+            if i >= 0 and j <= len(context):
+                before = min(i, width)
+                key = xxhash.xxh3_128_digest(context[i:j], lo)
+                yield True, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), lo, doc, th, e["place"], e["unsure"], before, context[i - before : i] + context[j : j + width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(pa.schema(list(types.items())))
         for b in batches:
-            out = []
-            for doc, th, text, edges in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out += [(e["kh"], e["many"], doc, th, e["place"], e["unsure"], *_context(text, e["place"], length, gram)) for e in edges]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            for doc, th, text, edges in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for e in edges:
+                    for row in rows_of(doc, th, text, e):
+                        if out.add(row, len(row[-1])):
+                            yield out.take()
+        yield out.take()
 
-    return marked.mapInArrow(run, "kh long, many boolean, doc_id long, th long, place int, unsure boolean, left int, context binary")
+    return marked.mapInArrow(run, _WORK)
 
 
 def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray, highest: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +223,7 @@ def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray
 
 
 def _resolve(rows: DataFrame, highest: int, width: int, length: int) -> DataFrame:
-    """Rows (group, base, doc_id, th, place, unsure, left, context) to covered spans (doc_id, th, i, j).
+    """Rows of ``_contexts`` to covered spans (doc_id, th, i, j).
 
     Compared are the strings of ``width`` bytes of each context; the one that starts d bytes left of the context's
     middle belongs to the string of ``length`` bytes that starts base + d bytes left of the anchor.
@@ -166,8 +231,9 @@ def _resolve(rows: DataFrame, highest: int, width: int, length: int) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
     def spans(table: pa.Table) -> pa.RecordBatch:
-        col = {c: table.column(c).to_numpy() for c in ("group", "base", "place", "unsure", "left")}
-        least, most = repeated_starts(table.column("context").to_pylist(), col["left"].astype(np.int64), col["group"], highest, width)
+        col = {c: table.column(c).to_numpy() for c in ("group", "sub", "base", "place", "unsure", "left")}
+        apart = (col["group"][1:] != col["group"][:-1]) | (col["sub"][1:] != col["sub"][:-1])
+        least, most = repeated_starts(table.column("context").to_pylist(), col["left"].astype(np.int64), np.concatenate(([0], np.cumsum(apart))), highest, width)
         hit = np.flatnonzero((least >= 0) & col["unsure"])
         at = pa.array(hit)
         origin = col["place"].astype(np.int64)[hit] - col["base"].astype(np.int64)[hit]
@@ -176,78 +242,40 @@ def _resolve(rows: DataFrame, highest: int, width: int, length: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            size += b.num_rows
-            if size >= SORT_ROWS:
-                table = pa.Table.from_batches(held)
-                group = table.column("group").to_numpy()
-                whole = 0 if group[0] == group[-1] else int(np.flatnonzero(group != group[-1])[-1]) + 1
-                if whole:
-                    yield spans(table.slice(0, whole))
-                    held = table.slice(whole).to_batches()
-                    size = table.num_rows - whole
+        for batch in batches:
+            for at in range(0, batch.num_rows, SORT_ROWS):
+                b = batch.slice(at, SORT_ROWS)
+                held.append(b)
+                size += b.num_rows
+                if size >= SORT_ROWS:
+                    table = pa.Table.from_batches(held)
+                    group = table.column("group").to_numpy()
+                    whole = 0 if group[0] == group[-1] else int(np.flatnonzero(group != group[-1])[-1]) + 1
+                    if whole:
+                        yield spans(table.slice(0, whole))
+                        held = table.slice(whole).to_batches()
+                        size = table.num_rows - whole
         if held:
             yield spans(pa.Table.from_batches(held))
 
-    columns = ["group", "base", "doc_id", "th", "place", "unsure", "left", "context"]
-    return rows.select(*columns).repartition("group").sortWithinPartitions("group").mapInArrow(run, "doc_id long, th long, i int, j int")
-
-
-def _blocks(rows: DataFrame, length: int, gram: int, starts: int) -> DataFrame:
-    """Rows (doc_id, th, place, unsure, left, context) to one row for each run of ``starts`` starting points.
-
-    ``key`` is of the bytes that the strings of a run share; ``context`` holds only what differs, the bytes left of that
-    part and right of it, as many as a string of the run can reach. Runs cover all starting points; the last two overlap.
-    """
-    digest = xxhash.xxh3_64_intdigest
-    schema = pa.schema([("key", pa.int64()), ("base", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("unsure", pa.bool_()), ("left", pa.int32()), ("context", pa.binary())])
-    last = length - gram + 1 - starts
-    bases = [*range(0, last, starts), last]
-    width = starts - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, rows, base, left, ends = [], [], [], [], []
-            for r, (at, context) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)):
-                for lo in bases:
-                    i, j = at - lo, at + length - lo - width
-                    if i >= 0 and j <= len(context):
-                        before = min(i, width)
-                        keys.append(digest(context[i:j], lo))
-                        rows.append(r)
-                        base.append(lo)
-                        left.append(before)
-                        ends.append(context[i - before : i] + context[j : j + width])
-            if rows:
-                at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(base, pa.int32()), *(b.column(c).take(at) for c in range(4)), pa.array(left, pa.int32()), pa.array(ends, pa.binary())], schema=schema)
-
-    return rows.select("doc_id", "th", "place", "unsure", "left", "context").mapInArrow(run, "key long, base int, doc_id long, th long, place int, unsure boolean, left int, context binary")
+    columns = ["group", "sub", "base", "doc_id", "th", "place", "unsure", "left", "context"]
+    return rows.select(*columns).repartition("group").sortWithinPartitions("group", "sub").mapInArrow(run, "doc_id long, th long, i int, j int")
 
 
 def _strings(rows: DataFrame, starts: int) -> DataFrame:
-    """Rows of ``_blocks`` to one row for each of their strings, with a key of the string: (string, d, doc_id, th, place, unsure)."""
-    digest = xxhash.xxh3_64_intdigest
-    schema = pa.schema([("string", pa.int64()), ("d", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("unsure", pa.bool_())])
+    """Rows of many contexts to one row for each of their strings: what it has beside the part that the group shares is ``tail``."""
     width = starts - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Rows(pa.schema([("group", pa.int64()), ("sub", pa.int64()), ("d", pa.int32()), ("tail", pa.binary()), ("doc_id", pa.int64()), ("th", pa.int64()), ("place", pa.int32()), ("unsure", pa.bool_())]))
         for b in batches:
-            keys, rows, starts_at = [], [], []
-            for r, (key, base, left, ends) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 6, 7)), strict=True)):
-                head = key.to_bytes(8, "little", signed=True)
+            for group, sub, base, doc, th, place, unsure, left, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 for d in range(max(0, width - len(ends) + left), min(width, left) + 1):
-                    keys.append(digest(head + ends[left - d : left + width - d], d))
-                    rows.append(r)
-                    starts_at.append(base + d)
-            if rows:
-                at = pa.array(rows, pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(starts_at, pa.int32()), *(b.column(c).take(at) for c in range(4))], schema=schema)
+                    if out.add((group, sub, base + d, ends[left - d : left + width - d], doc, th, place, unsure)):
+                        yield out.take()
+        yield out.take()
 
-    return rows.select("doc_id", "th", "place", "unsure", "key", "base", "left", "context").mapInArrow(run, "string long, d int, doc_id long, th long, place int, unsure boolean")
+    return rows.select("group", "sub", "base", "doc_id", "th", "place", "unsure", "left", "context").mapInArrow(run, "group long, sub long, d int, tail binary, doc_id long, th long, place int, unsure boolean")
 
 
 def _same_row(a: DataFrame, b: DataFrame, *more: str):
@@ -257,19 +285,18 @@ def _same_row(a: DataFrame, b: DataFrame, *more: str):
     return on
 
 
-def _split_groups(many: DataFrame, scratch: Scratch, length: int, gram: int, limit: int) -> DataFrame:
+def _split_groups(many: DataFrame, scratch: Scratch, length: int, limit: int) -> DataFrame:
     """Covered spans of contexts whose gram has more contexts than are sorted together."""
-    blocks = scratch.table(_blocks(many, length, gram, STARTS), "blocks")
-    counts = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    alive = scratch.table(blocks.join(counts, "key"), "blocks-alive")
-    scratch.drop(blocks)
-    spans = _resolve(alive.filter(F.col("n") <= limit).withColumnRenamed("key", "group"), STARTS - 1, STARTS - 1, length)
-    hot = alive.filter(F.col("n") > limit)
+    key = ["group", "sub"]
+    counts = scratch.table(many.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    spans = _resolve(many.join(counts.filter(F.col("n") <= limit).select(*key), key), STARTS - 1, STARTS - 1, length)
+    hot = counts.filter(F.col("n") > limit)
     if hot.isEmpty():
         return spans
-    strings = scratch.table(_strings(hot, STARTS), "strings")
-    twice = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string")
-    found = strings.filter("unsure").join(twice, "string").groupBy("doc_id", "th", "place").agg(F.min("d").alias("a"), F.max("d").alias("b"))
+    strings = scratch.table(_strings(join_unique(many, hot, key, "n", scratch).select(many.columns), STARTS), "strings", "zstd")
+    key += ["d", "tail"]
+    twice = scratch.table(strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice", "zstd")
+    found = join_unique(strings.filter("unsure"), twice, key, "n", scratch).groupBy("doc_id", "th", "place").agg(F.min("d").alias("a"), F.max("d").alias("b"))
     return spans.unionByName(found.selectExpr("doc_id", "th", "place - b AS i", f"place - a + {length} AS j"))
 
 
@@ -287,30 +314,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     bound_batches(spark)
     scratch = Scratch(spark, "repeats")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), text_bytes().alias("text"))
-    anchors = scratch.table(_anchors(texts.filter(F.length("text") >= length), length, gram), "anchors")
-    contexts = anchors.groupBy("kh", "ch").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head"))
-    grams = contexts.groupBy("kh").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).filter("total > 1").drop("total")
-    status = scratch.table(contexts.join(grams, "kh"), "status")
+    anchors = scratch.table(_anchors(texts.filter(F.length("text") >= length), length, gram), "anchors", "zstd")
+    own = F.coalesce("doc_id", "th")  # a row without doc_id goes by its text
+    contexts = anchors.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("head")).withColumn("k", F.shiftrightunsigned("a", 16))
+    grams = contexts.groupBy("k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).filter("total > 1").drop("total")
+    status = scratch.table(contexts.join(grams, "k"), "status", "zstd")
     scratch.release()
-    joined = anchors.join(status, ["kh", "ch"])
-    edge = (F.col("different") > 1) & ((F.col("n") == 1) | F.col("doc_id").eqNullSafe(F.col("head")))
-    marks = joined.groupBy("doc_id", "th").agg(
-        F.collect_list(F.when(F.col("n") > 1, F.col("place"))).alias("sure"),
-        F.collect_list(F.when(edge, F.struct("place", (F.col("n") == 1).alias("unsure"), "kh", (F.col("different") > group_limit).alias("many")))).alias("edge"),
+    edge = (F.col("different") > 1) & ((F.col("n") == 1) | (own == F.col("head")) & F.col("fresh"))
+    marks = join_unique(anchors, status, ["a", "b"], "n", scratch).groupBy("doc_id", "th").agg(
+        F.collect_set(F.when(F.col("n") > 1, F.col("place"))).alias("sure"),
+        F.collect_set(F.when(edge, F.struct("place", (F.col("n") == 1).alias("unsure"), "k", (F.col("different") > group_limit).alias("many")))).alias("edge"),
     )
-    marks = scratch.table(marks, "marks")
+    marks = scratch.table(marks, "marks", "zstd")
     scratch.drop(anchors)
     scratch.drop(status)
     scratch.release()
     edges = marks.filter(F.size("edge") > 0).select("doc_id", "th", "edge")
-    found = scratch.table(_contexts(texts.join(edges, _same_row(texts, edges)).select(texts["doc_id"], texts["th"], "text", "edge"), length, gram), "contexts")
+    found = scratch.table(_contexts(texts.join(edges, _same_row(texts, edges)).select(texts["doc_id"], texts["th"], "text", "edge"), length, gram, STARTS), "contexts", "zstd")
     scratch.release()
-    few = found.filter("NOT many").withColumns({"group": F.col("kh"), "base": F.lit(0)})
-    spans = _resolve(few, length - gram, length, length)
+    spans = _resolve(found.filter("NOT many"), length - gram, length, length)
     many = found.filter("many")
     if not many.isEmpty():
-        spans = spans.unionByName(_split_groups(many, scratch, length, gram, block_limit))
-    spans = scratch.table(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("i", "j")).alias("spans")), "spans")
+        spans = spans.unionByName(_split_groups(many, scratch, length, block_limit))
+    spans = scratch.table(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "j")).alias("spans")), "spans", "zstd")
     scratch.drop(found)
     scratch.release()
     cover = marks.select("doc_id", "th", "sure", F.lit(None).cast("array<struct<i:int,j:int>>").alias("spans")).unionByName(spans.select("doc_id", "th", F.lit(None).cast("array<int>").alias("sure"), "spans"))

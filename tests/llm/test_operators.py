@@ -14,7 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from dispersa.llm import bpe, components, decontam, langid, nbsvm, ogg, queries, secret_scan, sharding, simhash, suffix_dedup, token_counts
+from dispersa.llm import bpe, common, components, decontam, langid, nbsvm, ogg, queries, secret_scan, sharding, simhash, suffix_dedup, token_counts
 from dispersa.llm.common import Scratch, read_table
 from dispersa.llm.suffix_sort import deep_shallow_sort
 from pyspark.sql import functions as F
@@ -208,9 +208,11 @@ def test_repeats_over_table(spark, sf_dir, rows):
     assert sum(g[1] for g in got.values())
 
 
-@pytest.mark.parametrize(("limit", "block"), [(4000, 4000), (3, 4000), (3, 3)])
-def test_repeats_on_overlaps(spark, limit, block):
-    """Short alphabets, overlapping and hot passages; a low limit sends groups through every way of splitting."""
+@pytest.mark.parametrize(("limit", "block", "hot"), [(4000, 4000, 1000), (3, 4000, 2), (3, 3, 2)])
+def test_repeats_on_overlaps(spark, monkeypatch, limit, block, hot):
+    """Short alphabets, overlapping and hot passages; low limits send groups and keys through every way of splitting."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
     rng = random.Random(limit)
     common = "".join(rng.choices("abcd ", k=90))
     texts = ["".join(rng.choices("ab", k=rng.randint(0, 80))) + common[rng.randint(0, 30) : rng.randint(50, 90)] * rng.randint(0, 3) + "".join(rng.choices("ü€x", k=rng.randint(0, 30))) for _ in range(150)]
