@@ -18,6 +18,9 @@ from ..session import ship
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A key of more rows than this is hot; of the hot keys so many at most are joined by broadcast, the hottest first.
 HOT_ROWS, HOT_KEYS = 1000, 10_000
+#: Written tables in a plain shared folder go without checksum files and marks of success: each file costs Hadoop's local
+#: file system helper processes, during which a sampler may see a whole JVM twice. Other file systems do not read these.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
 _ODD = 0x9E3779B97F4A7C15 | 1
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -88,7 +91,7 @@ class Scratch:
         """Writes ``df`` and reads it back; shuffle files of what made it may then go."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(compression=codec, **_PLAIN).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

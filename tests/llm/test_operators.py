@@ -214,9 +214,9 @@ def test_repeats_on_overlaps(spark, monkeypatch, limit, block, hot):
     monkeypatch.setattr(common, "HOT_ROWS", hot)
     monkeypatch.setattr(common, "HOT_KEYS", 5)
     rng = random.Random(limit)
-    common = "".join(rng.choices("abcd ", k=90))
-    texts = ["".join(rng.choices("ab", k=rng.randint(0, 80))) + common[rng.randint(0, 30) : rng.randint(50, 90)] * rng.randint(0, 3) + "".join(rng.choices("ü€x", k=rng.randint(0, 30))) for _ in range(150)]
-    texts += [None, "", "q" * 400, common, common, "pq" * 100]
+    passage = "".join(rng.choices("abcd ", k=90))
+    texts = ["".join(rng.choices("ab", k=rng.randint(0, 80))) + passage[rng.randint(0, 30) : rng.randint(50, 90)] * rng.randint(0, 3) + "".join(rng.choices("ü€x", k=rng.randint(0, 30))) for _ in range(150)]
+    texts += [None, "", "q" * 400, passage, passage, "pq" * 100]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     out = suffix_dedup.digest(suffix_dedup.remove_repeats(frame, length=40, gram=16, group_limit=limit, block_limit=block)).collect()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out}
