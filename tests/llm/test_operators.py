@@ -354,7 +354,7 @@ def test_contamination_windows(spark):
     texts = [" ".join(rng.choices(["a", "B", "ç", "d1"], k=rng.randint(0, 60))) for _ in range(60)] + [None, "", "!!"]
     items = [(i, " ".join(rng.choices(["A", "b", "Ç", "ç", "d1"], k=rng.randint(0, 14)))) for i in range(25)] + [(90, None), (91, "a b"), (92, "a b"), (None, "d1 d1 d1")]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    for window, block, most in ((10, 4 << 20, 32 << 20), (4, 40, 80)):
+    for window, block, most in ((10, 4 << 20, 32 << 20), (4, 40, 80), (4, 40, 2500)):
         marked = decontam.mark_contamination(frame, spark.createDataFrame(items, "item_id long, text string"), window, block, most)
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.digest(marked).collect()}
         assert [got[i] for i in range(len(texts))] == brute.contamination(texts, items, window)
