@@ -4,7 +4,8 @@ Two 64-bit fingerprints within three bits agree in one of their two 32-bit halve
 fingerprint is indexed under its two exact halves and under the 64 variants that leave one bit of a half out; equal keys
 meet in one sort, and every candidate pair is verified on all 64 bits. A key that more than ``bucket_limit``
 fingerprints share is split by the same rule over the bits it leaves free (halves of 16, then of 8 bits): the last level
-fixes at least 53 bits, so a bucket there holds 2,048 fingerprints at most, and no link is lost.
+fixes at least 53 bits, so a bucket there holds 2,048 fingerprints at most, and no link is lost. Keys of the halves that
+most fingerprints share are known beforehand, and their rows go to the second level without meeting in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, as_batch, bound_batches, text_bytes
+from .common import HOT_KEYS, Scratch, as_batch, bound_batches, join_unique, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -179,9 +180,19 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS
         raise ValueError("two halves with one bit left out cover three differing bits at most")
     bound_batches(fps.sparkSession)
     rows = fps.selectExpr("fp", f"explode({_variants('fp', 64)}) AS v").selectExpr("fp", "shiftleft(v.tag, 32) | v.bits AS key")
+    # a key of more than bucket_limit fingerprints comes from a half that more than half as many share
+    halves = fps.selectExpr("explode(array(struct(0L AS t, shiftrightunsigned(fp, 32) AS half), struct(1L AS t, fp & 4294967295L AS half))) AS x").groupBy("x.t", "x.half").count()
+    common = scratch.table(halves.filter(F.col("count") > bucket_limit / 2).orderBy(F.desc("count"), "t", "half").limit(HOT_KEYS // 33), "halves")
+    hot = None
+    if not common.isEmpty():
+        bits = "half & CASE WHEN b = 32 THEN 4294967295L ELSE 4294967295L ^ shiftleft(1L, cast(b AS int)) END"
+        known = F.broadcast(common.selectExpr("t", "half", "explode(sequence(0L, 32L)) AS b").selectExpr(f"shiftleft(t * 33 + b, 32) | ({bits}) AS key").distinct())
+        hot = rows.join(known, "key", "left_semi").select("fp", "key")
+        rows = rows.join(known, "key", "left_anti")
     first = scratch.table(_bucket_edges(rows, max_bits, bucket_limit, True), "level1")
     edges = first.filter("b IS NOT NULL").select("a", "b")
-    hot = first.filter("b IS NULL").selectExpr("a AS fp", "key")
+    more = first.filter("b IS NULL").selectExpr("a AS fp", "key")
+    hot = more if hot is None else hot.unionByName(more)
     if hot.isEmpty():
         return edges
     rows = hot.selectExpr("fp", "key", f"{_free('fp', 'shiftright(key, 32)', 64)} AS free").selectExpr("fp", "key", "free", f"explode({_variants('free', 32)}) AS v")
@@ -207,10 +218,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, window: int = WIN
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.table(fingerprints(docs, window), "fp")
-    heads = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    heads = scratch.table(marked.groupBy("fp").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")), "heads")
     roots = scratch.table(connected_components(link_fingerprints(heads.select("fp"), scratch, max_bits, bucket_limit), scratch), "roots")
-    named = heads.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = named.groupBy("root").agg(F.min("head").alias("component_id"))
-    linked = named.join(least, "root").select("fp", "component_id")
-    classes = heads.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "head").alias("component_id"))
-    return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = scratch.table(heads.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "head", "root"), "named")
+    least = scratch.table(named.groupBy("root").agg(F.min("head").alias("component_id"), F.count(F.lit(1)).alias("size")), "least")
+    linked = join_unique(named, least, ["root"], "size", scratch).select("fp", "component_id")
+    classes = scratch.table(heads.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "head").alias("component_id")), "classes")
+    return join_unique(marked, classes, ["fp"], "n", scratch).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
