@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-#: A key of more rows than this is hot; of the hot keys so many at most are joined by broadcast, the hottest first.
+#: A key of more rows than this is hot; of the hot keys so many at most are salted, the hottest first.
 HOT_ROWS, HOT_KEYS = 1000, 10_000
 #: Written tables in a plain shared folder go without checksum files and marks of success: each file costs Hadoop's local
 #: file system helper processes, during which a sampler may see a whole JVM twice. Other file systems do not read these.
@@ -114,14 +114,17 @@ class Scratch:
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], count: str, scratch: Scratch, how: str = "inner") -> DataFrame:
-    """``left`` joined with ``right``, a written table with one row for each key that says in ``count`` how many rows of ``left`` have it.
+    """``left`` joined with ``right``, which has one row for each key and says in ``count`` how many rows of ``left`` have it.
 
-    A hot key would bring all its rows to one task, so the ``HOT_KEYS`` keys of most rows, if of more than ``HOT_ROWS``,
-    are joined by broadcast, where their rows lie. All other keys are shuffled: none has more rows than any of those.
+    A hot key would bring all its rows to one task. So for the ``HOT_KEYS`` keys of most rows, if of more than
+    ``HOT_ROWS``, the rows are dealt by a salt, and the key's row of ``right`` is repeated for each salt: together one
+    for each ``HOT_ROWS`` rows of ``left``. Only the numbers of salts are broadcast. No other key has more rows than any of those.
     """
-    hot = scratch.table(right.filter(F.col(count) > HOT_ROWS).orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS), "hot")
+    hot = right.filter(F.col(count) > HOT_ROWS).orderBy(F.col(count).desc(), *keys).limit(HOT_KEYS)
+    hot = scratch.table(hot.select(*keys, F.ceil(F.col(count) / HOT_ROWS).alias("__salts")), "hot")
     if hot.isEmpty():
         return left.join(right, keys, how)
-    named = F.broadcast(hot.select(*keys))
-    rest = left.join(named, keys, "left_anti").join(right.join(named, keys, "left_anti"), keys, how)
-    return left.join(F.broadcast(hot), keys).unionByName(rest)
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), salts)).drop("__salts")
+    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("__salts")
+    return dealt.join(repeated, [*keys, "__salt"], how).drop("__salt")

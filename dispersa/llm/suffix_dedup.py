@@ -10,9 +10,10 @@ by deep-shallow sorting, and a string that starts d bytes left of its anchor is
 has d bytes in common to the left and ``length - d`` to the right: both are ranges of equal class in the two suffix arrays.
 
 A gram with more than ``group_limit`` different contexts is split by the part that all strings within 18 starting points
-share (128 bits of hash again), of which only the few bytes on either side are then sorted. Where more than
-``block_limit`` contexts share that part too, the strings themselves are grouped by that hash and their other bytes. So
-a task sorts a bounded number of rows of one group, and every repetition is found whatever its group's size.
+share (128 bits of hash again), of which only the few bytes on either side are then sorted. Of a gram with more than
+``block_limit`` contexts these parts are counted first; where more contexts than that share one, the strings themselves
+are grouped by that hash and their other bytes. So a task sorts a bounded number of rows of one group, and every
+repetition is found whatever its group's size.
 """
 
 from __future__ import annotations
@@ -156,8 +157,8 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 _WORK = "many boolean, group long, sub long, base int, doc_id long, th long, place int, unsure boolean, left int, context binary"
 
 
-def _contexts(marked: DataFrame, length: int, gram: int, starts: int) -> DataFrame:
-    """From rows (doc_id, th, text, edge) what is to be sorted.
+def _contexts(texts: DataFrame, edges: DataFrame, length: int, gram: int, starts: int) -> DataFrame:
+    """What is to be sorted, from the texts and their ``edges(doc_id, th, edge)``.
 
     An anchor of a gram with few contexts gives its context, in the group of its gram. One of a gram with ``many`` gives
     a row for each run of ``starts`` starting points: the group is of the bytes that the strings of a run share, and
@@ -184,14 +185,14 @@ def _contexts(marked: DataFrame, length: int, gram: int, starts: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Rows(pa.schema(list(types.items())))
         for b in batches:
-            for doc, th, text, edges in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                for e in edges:
+            for doc, th, text, edge in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                for e in edge:
                     for row in rows_of(doc, th, text, e):
                         if out.add(row, len(row[-1])):
                             yield out.take()
         yield out.take()
 
-    return marked.mapInArrow(run, _WORK)
+    return texts.join(edges, _same_row(texts, edges)).select(texts["doc_id"], texts["th"], "text", "edge").mapInArrow(run, _WORK)
 
 
 def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray, highest: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -222,22 +223,36 @@ def repeated_starts(contexts: list[bytes], lefts: np.ndarray, groups: np.ndarray
     return least, most
 
 
-def _resolve(rows: DataFrame, highest: int, width: int, length: int) -> DataFrame:
-    """Rows of ``_contexts`` to covered spans (doc_id, th, i, j).
+def _resolve(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """Rows of ``_contexts`` to covered spans (doc_id, th, i, j); groups have a bounded number of rows.
 
-    Compared are the strings of ``width`` bytes of each context; the one that starts d bytes left of the context's
-    middle belongs to the string of ``length`` bytes that starts base + d bytes left of the anchor.
+    Compared are strings of each context, of ``length`` bytes or of as many as lie outside the shared part; the one that
+    starts d bytes left of the context's middle belongs to the string of ``length`` bytes that starts base + d bytes left
+    of the anchor.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("i", pa.int32()), ("j", pa.int32())])
 
-    def spans(table: pa.Table) -> pa.RecordBatch:
-        col = {c: table.column(c).to_numpy() for c in ("group", "sub", "base", "place", "unsure", "left")}
-        apart = (col["group"][1:] != col["group"][:-1]) | (col["sub"][1:] != col["sub"][:-1])
-        least, most = repeated_starts(table.column("context").to_pylist(), col["left"].astype(np.int64), np.concatenate(([0], np.cumsum(apart))), highest, width)
-        hit = np.flatnonzero((least >= 0) & col["unsure"])
-        at = pa.array(hit)
-        origin = col["place"].astype(np.int64)[hit] - col["base"].astype(np.int64)[hit]
-        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(at), table.column("th").combine_chunks().take(at), pa.array((origin - most[hit]).astype(np.int32)), pa.array((origin - least[hit] + length).astype(np.int32))], schema=schema)
+    def spans(both: pa.Table) -> Iterator[pa.RecordBatch]:
+        many = both.column("many").to_numpy()
+        for flag, highest, width in ((False, length - gram, length), (True, STARTS - 1, STARTS - 1)):
+            table = both.filter(pa.array(many == flag))
+            if not table.num_rows:
+                continue
+            col = {c: table.column(c).to_numpy() for c in ("group", "sub", "base", "place", "unsure", "left")}
+            apart = (col["group"][1:] != col["group"][:-1]) | (col["sub"][1:] != col["sub"][:-1])
+            number = np.concatenate(([0], np.cumsum(apart)))
+            shared = np.bincount(number)[number] > 1
+            if not shared.all():  # a group of one has nothing to be compared with
+                table = table.filter(pa.array(shared))
+                col = {c: v[shared] for c, v in col.items()}
+                number = number[shared]
+            if not table.num_rows:
+                continue
+            least, most = repeated_starts(table.column("context").to_pylist(), col["left"].astype(np.int64), number, highest, width)
+            hit = np.flatnonzero((least >= 0) & col["unsure"])
+            at = pa.array(hit)
+            origin = col["place"].astype(np.int64)[hit] - col["base"].astype(np.int64)[hit]
+            yield pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().take(at), table.column("th").combine_chunks().take(at), pa.array((origin - most[hit]).astype(np.int32)), pa.array((origin - least[hit] + length).astype(np.int32))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -252,14 +267,13 @@ def _resolve(rows: DataFrame, highest: int, width: int, length: int) -> DataFram
                     group = table.column("group").to_numpy()
                     whole = 0 if group[0] == group[-1] else int(np.flatnonzero(group != group[-1])[-1]) + 1
                     if whole:
-                        yield spans(table.slice(0, whole))
+                        yield from spans(table.slice(0, whole))
                         held = table.slice(whole).to_batches()
                         size = table.num_rows - whole
         if held:
-            yield spans(pa.Table.from_batches(held))
+            yield from spans(pa.Table.from_batches(held))
 
-    columns = ["group", "sub", "base", "doc_id", "th", "place", "unsure", "left", "context"]
-    return rows.select(*columns).repartition("group").sortWithinPartitions("group", "sub").mapInArrow(run, "doc_id long, th long, i int, j int")
+    return rows.repartition("group").sortWithinPartitions("group", "sub").mapInArrow(run, "doc_id long, th long, i int, j int")
 
 
 def _strings(rows: DataFrame, starts: int) -> DataFrame:
@@ -285,15 +299,15 @@ def _same_row(a: DataFrame, b: DataFrame, *more: str):
     return on
 
 
-def _split_groups(many: DataFrame, scratch: Scratch, length: int, limit: int) -> DataFrame:
-    """Covered spans of contexts whose gram has more contexts than are sorted together."""
+def _split_groups(blocks: DataFrame, scratch: Scratch, length: int, gram: int, limit: int) -> DataFrame:
+    """Covered spans of contexts whose gram has more contexts than one group may have rows; ``blocks`` is a written table."""
     key = ["group", "sub"]
-    counts = scratch.table(many.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
-    spans = _resolve(many.join(counts.filter(F.col("n") <= limit).select(*key), key), STARTS - 1, STARTS - 1, length)
+    counts = scratch.table(blocks.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    spans = _resolve(blocks.join(counts.filter(F.col("n") <= limit).select(*key), key).select(blocks.columns), length, gram)
     hot = counts.filter(F.col("n") > limit)
     if hot.isEmpty():
         return spans
-    strings = scratch.table(_strings(join_unique(many, hot, key, "n", scratch).select(many.columns), STARTS), "strings", "zstd")
+    strings = scratch.table(_strings(join_unique(blocks, hot, key, "n", scratch), STARTS), "strings", "zstd")
     key += ["d", "tail"]
     twice = scratch.table(strings.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "twice", "zstd")
     found = join_unique(strings.filter("unsure"), twice, key, "n", scratch).groupBy("doc_id", "th", "place").agg(F.min("d").alias("a"), F.max("d").alias("b"))
@@ -314,7 +328,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     bound_batches(spark)
     scratch = Scratch(spark, "repeats")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), text_bytes().alias("text"))
-    anchors = scratch.table(_anchors(texts.filter(F.length("text") >= length), length, gram), "anchors", "zstd")
+    anchors = _anchors(texts.filter(F.length("text") >= length), length, gram)
     own = F.coalesce("doc_id", "th")  # a row without doc_id goes by its text
     contexts = anchors.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("head")).withColumn("k", F.shiftrightunsigned("a", 16))
     grams = contexts.groupBy("k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).filter("total > 1").drop("total")
@@ -323,22 +337,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     edge = (F.col("different") > 1) & ((F.col("n") == 1) | (own == F.col("head")) & F.col("fresh"))
     marks = join_unique(anchors, status, ["a", "b"], "n", scratch).groupBy("doc_id", "th").agg(
         F.collect_set(F.when(F.col("n") > 1, F.col("place"))).alias("sure"),
-        F.collect_set(F.when(edge, F.struct("place", (F.col("n") == 1).alias("unsure"), "k", (F.col("different") > group_limit).alias("many")))).alias("edge"),
+        F.collect_set(F.when(edge & (F.col("different") <= block_limit), F.struct("place", (F.col("n") == 1).alias("unsure"), "k", (F.col("different") > group_limit).alias("many")))).alias("edge"),
+        F.collect_set(F.when(edge & (F.col("different") > block_limit), F.struct("place", (F.col("n") == 1).alias("unsure"), "k", F.lit(True).alias("many")))).alias("hot"),
     )
     marks = scratch.table(marks, "marks", "zstd")
-    scratch.drop(anchors)
     scratch.drop(status)
     scratch.release()
-    edges = marks.filter(F.size("edge") > 0).select("doc_id", "th", "edge")
-    found = scratch.table(_contexts(texts.join(edges, _same_row(texts, edges)).select(texts["doc_id"], texts["th"], "text", "edge"), length, gram, STARTS), "contexts", "zstd")
-    scratch.release()
-    spans = _resolve(found.filter("NOT many"), length - gram, length, length)
-    many = found.filter("many")
-    if not many.isEmpty():
-        spans = spans.unionByName(_split_groups(many, scratch, length, block_limit))
-    spans = scratch.table(spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "j")).alias("spans")), "spans", "zstd")
-    scratch.drop(found)
-    scratch.release()
+    spans = _resolve(_contexts(texts, marks.filter(F.size("edge") > 0).select("doc_id", "th", "edge"), length, gram, STARTS), length, gram)
+    hot = marks.filter(F.size("hot") > 0).select("doc_id", "th", F.col("hot").alias("edge"))
+    if not hot.isEmpty():
+        spans = spans.unionByName(_split_groups(scratch.table(_contexts(texts, hot, length, gram, STARTS), "blocks", "zstd"), scratch, length, gram, block_limit))
+        scratch.release()
+    spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("i", "j")).alias("spans"))
     cover = marks.select("doc_id", "th", "sure", F.lit(None).cast("array<struct<i:int,j:int>>").alias("spans")).unionByName(spans.select("doc_id", "th", F.lit(None).cast("array<int>").alias("sure"), "spans"))
     cover = cover.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("sure")).alias("sure"), F.flatten(F.collect_list("spans")).alias("spans"))
     return _cut(texts.join(cover, _same_row(texts, cover), "left").select(texts["doc_id"], "text", "sure", "spans"), length, gram)
