@@ -331,7 +331,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     anchors = _anchors(texts.filter(F.length("text") >= length), length, gram)
     own = F.coalesce("doc_id", "th")  # a row without doc_id goes by its text
     contexts = anchors.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("head")).withColumn("k", F.shiftrightunsigned("a", 16))
-    grams = contexts.groupBy("k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different")).filter("total > 1").drop("total")
+    # with the least head too, which keeps the columns of both uses of contexts alike, so that one shuffle serves both
+    grams = contexts.groupBy("k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("different"), F.min("head").alias("first")).filter("total > 1")
     status = scratch.table(contexts.join(grams, "k"), "status", "zstd")
     scratch.release()
     edge = (F.col("different") > 1) & ((F.col("n") == 1) | (own == F.col("head")) & F.col("fresh"))
