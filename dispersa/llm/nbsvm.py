@@ -5,8 +5,8 @@ classes. The log-count ratio of a feature compares its smoothed frequency in the
 ratios of its features at unit length. The hinge loss is minimised by dual coordinate descent (Hsieh et al., 2008), and
 margins become scores by a logistic curve fitted to margins of folds that were left out of their own fit.
 
-The fit uses ``max_train`` labelled rows at most (those of least hash of doc_id), a bound that does not grow; scoring
-covers all rows.
+The fit uses ``max_train`` labelled rows and ``train_bytes`` bytes of feature numbers at most (rows of least hash of
+doc_id), bounds that do not grow; scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, text_bytes
+from .common import Scratch, bound_batches, text_bytes
 from .langid import held_out
 
 MAX_TRAIN = 6000
+TRAIN_BYTES = 64 << 20
+PIECE_BYTES = 1 << 20
 THRESHOLD = 0.3
 BITS = 16
 SIZE = 256 + 3 * (1 << BITS)
@@ -38,7 +40,16 @@ for _c in b"!#$%&*|<>{}@":
 
 
 def features(text: bytes) -> np.ndarray:
-    """Numbers of the features a text has, ascending."""
+    """Numbers of the features a text has, ascending; long texts are taken in pieces that overlap by four bytes."""
+    if len(text) <= PIECE_BYTES:
+        return _features(text)
+    has = np.zeros(SIZE, bool)
+    for at in range(0, len(text), PIECE_BYTES):
+        has[_features(text[at : at + PIECE_BYTES + 4])] = True
+    return np.flatnonzero(has)
+
+
+def _features(text: bytes) -> np.ndarray:
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
     top = np.uint32((1 << BITS) - 1)
     pair = b[:-1] << 8 | b[1:]
@@ -146,27 +157,45 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, folds: int = 3) -> Model:
     return Model(ratios, (w * ratios), bias, *logistic_curve(margins, labels))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """Fits on the texts of ``docs`` whose doc_id has a ``quality`` of 0 or 1 in ``labels``, ``max_train`` of them at most.
+def learn(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fits on the texts of ``docs`` whose doc_id has a ``quality`` of 0 or 1 in ``labels``: ``max_train`` of them at most,
+    and no more than have ``train_bytes`` bytes of feature numbers together.
 
-    Only feature numbers of those rows come to the driver. A doc_id with several labels counts with the largest.
+    Only feature numbers of those rows come to the driver. A doc_id with several labels counts with the largest, one
+    with several texts with that of least SHA-256. Null texts count as empty; without any
+    labelled text the model gives every text 0.5.
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    scratch = Scratch(spark, "quality")
     chosen = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [features(t).astype(np.int32).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["doc_id", "quality", "f"])
-
-    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    rows = sorted(texts.mapInArrow(run, "doc_id long, quality int, f binary").dropDuplicates(["doc_id"]).collect())
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                found = [features(t).astype(np.int32).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary()), part.column(3)], names=["doc_id", "quality", "f", "sha"])
+
+    texts = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text", F.sha2("text", 256).alias("sha"))
+    found = texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, f binary, sha string").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min_by("f", "sha").alias("f"))
+    found = scratch.table(found.withColumn("h", F.xxhash64("doc_id")), "features")
+    total, last = 0, None
+    for r in found.select("h", "doc_id", F.length("f").alias("size")).orderBy("h", "doc_id").collect():
+        total += r.size
+        if total > train_bytes:
+            break
+        last = (r.h, r.doc_id)
+    rows = [] if last is None else sorted(found.filter((F.col("h") < last[0]) | (F.col("h") == last[0]) & (F.col("doc_id") <= last[1])).select("doc_id", "quality", "f").collect())
+    scratch.drop(found)
     return fit([np.frombuffer(r.f, np.int32) for r in rows], np.array([r.quality for r in rows], np.int64))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced. Null texts score as empty ones."""
+    """``docs`` with ``score`` and ``predicted``; columns of these names are replaced.
+
+    Null texts score as empty ones, repeated rows alike; an empty table gives no rows.
+    """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score", "predicted")
