@@ -36,20 +36,34 @@ def count_grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text's words, ascending, and their counts.
 
     An n-gram is its code points in 21 bits apiece, the first one highest. Words are runs of letters of the lower-cased
-    text, each with a space on either side; no n-gram reaches over a space.
+    text, each with a space on either side; no n-gram reaches over a space. Long texts are taken in pieces, of which each
+    begins with the last two places of the one before.
     """
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[c]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]
-    s = np.concatenate(([32], np.where(letter, c, 32)[keep], [32])).astype(np.int64)
-    word = s != 32
-    two = s[:-1] << 42 | s[1:] << 21
-    three = two[:-1] | s[2:]
-    grams = np.concatenate((s[word] << 42, two[word[:-1] | word[1:]], three[word[1:-1]]))
-    grams.sort()
-    cut = np.flatnonzero(np.concatenate((grams[:1] >= 0, grams[1:] != grams[:-1])))
-    return grams[cut], np.diff(np.append(cut, len(grams)))
+    text = text.lower()
+    found = None
+    carry, after_letter = np.array([32]), False
+    for at in range(0, len(text) or 1, CHUNK_CHARS):
+        c = np.frombuffer(text[at : at + CHUNK_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[c]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        if after_letter and len(keep):
+            keep[0] = True
+        after_letter = bool(len(letter) and letter[-1])
+        end = [32] if at + CHUNK_CHARS >= len(text) else []
+        s = np.concatenate((carry, np.where(letter, c, 32)[keep], end)).astype(np.int64)
+        old = len(carry)
+        word = s != 32
+        two = s[:-1] << 42 | s[1:] << 21
+        three = two[:-1] | s[2:]
+        fresh = max(0, old - 2)
+        grams = np.concatenate(((s << 42)[old:][word[old:]], two[old - 1 :][(word[:-1] | word[1:])[old - 1 :]], three[fresh:][word[1:-1][fresh:]]))
+        grams.sort()
+        cut = np.flatnonzero(np.concatenate((grams[:1] >= 0, grams[1:] != grams[:-1])))
+        got = grams[cut], np.diff(np.append(cut, len(grams)))
+        found = got if found is None else add_counts(found, got)
+        carry = s[-2:]
+    return found
 
 
 def add_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +154,7 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every text when there are no profiles.
+    Equal distances go to the language that sorts first. Repeated rows are predicted alike; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
