@@ -7,7 +7,6 @@ lacing values across pages, separates streams by serial number and derives times
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -193,7 +192,10 @@ def padded(data: bytes) -> bytes:
 
 
 def store_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with binary ``media``, the text's padded UTF-8 bytes as an Ogg file; null counts as empty; a column of that name is replaced."""
+    """``docs`` with binary ``media``, the text's padded UTF-8 bytes as an Ogg file; a column of that name is replaced.
+
+    A null text counts as empty; equal texts have equal files, repeated rows included; an empty table gives no rows.
+    """
     bound_batches(docs.sparkSession)
     docs = docs.drop("media")
     at = docs.columns.index("text")
@@ -207,24 +209,49 @@ def store_documents(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Stores every text, reads the stored bytes back, and returns sizes, digests and features of what was read.
+def load_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``payload``, ``media_seconds``, ``media_feature`` and ``media_error`` read from binary ``media``; columns of these names are replaced.
 
-    Rows of equal texts are equal but for doc_id; null texts count as empty; an empty table gives no rows.
+    A file that is damaged, or no file of ``store_documents``, has null in the first three and in ``media_error`` what is
+    wrong with it; a null one has ``null``. Whole files have null there. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-
-    def row(text: bytes) -> tuple:
-        data = store(padded(text))
-        media = load(data)
-        got = media.samples
-        return len(text), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature(media)
+    docs = docs.drop("payload", "media_seconds", "media_feature", "media_error")
+    at = docs.columns.index("media")
+    added = {"payload": ("binary", pa.binary()), "media_seconds": ("double", pa.float64()), "media_feature": ("string", pa.string()), "media_error": ("string", pa.string())}
+    schema = docs.withColumns({c: F.lit(None).cast(kind) for c, (kind, _) in added.items()}).schema
+
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None, "null"
+        try:
+            media = load(data)
+            return media.samples, len(media.samples) / media.rate, feature(media), None
+        except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error) as e:
+            return None, None, None, str(e) or type(e).__name__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                columns = zip(*map(row, b.column(1).to_pylist()), strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            columns = zip(*map(row, b.column(at).to_pylist()), strict=True) if b.num_rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, kind) for c, (_, kind) in zip(columns, added.values(), strict=True))], names=[*b.schema.names, *added])
+
+    return docs.mapInArrow(run, schema)
+
+
+def digest(docs: DataFrame) -> DataFrame:
+    """Stores every text, reads the stored column back, and returns sizes, digests and features of what was read.
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    Rows of equal texts are equal but for doc_id; null texts count as empty; an empty table gives no rows.
+    """
+    stored = store_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    read = load_documents(stored.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "media"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -PAD, PAD)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.col("media_feature").alias("feature"),
+    )
