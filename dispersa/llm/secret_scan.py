@@ -7,8 +7,9 @@ A layer seen before at the same place is not taken up again, so a stream that un
 
 Base64 runs are joined over line breaks and decoded at every alignment, as other characters may be glued to their front.
 Bytes that are not UTF-8 are taken as Latin-1, so no layer is left out for what else stands in it, and ASCII in UTF-16 or
-UTF-32 is a further layer. Compressed streams are read to their end. One of more than ``LAYER_BYTES`` goes by in windows that overlap by a quarter,
-each scanned and unwrapped before the next is read, so memory does not grow with what a stream holds.
+UTF-32 is a further layer. Compressed streams are read to their end. One of more than ``LAYER_BYTES`` goes by in windows
+that overlap by a quarter, each scanned and unwrapped before the next is read, so memory does not grow with what a
+stream holds.
 """
 
 from __future__ import annotations
@@ -363,7 +364,7 @@ def digest(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span found put out of ``text``: overlapping spans become one ``mark``; other texts stay as they are.
 
-    Runs that hold a stream read in windows are put out as well, for not all that is encoded in them need be found.
+    Null and empty texts stay null and empty, repeated rows are treated alike, an empty table gives no rows. Runs that hold a stream read in windows are put out as well, for not all that is encoded in them need be found.
     """
     bound_batches(docs.sparkSession)
     at = docs.columns.index("text")

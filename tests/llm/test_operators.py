@@ -129,6 +129,17 @@ def test_ogg_round_trip(spark, sf_dir, rows):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), brute.sha(payload), zlib.crc32(payload[-64:]))
         media = ogg.store(payload)
         assert (r.media_bytes, r.media_sha256) == (len(media), brute.sha(media))
+        assert r.feature == brute.ogg_feature(payload)
+
+
+def test_ogg_damage(spark):
+    whole = ogg.store(ogg.padded(b"some text"))
+    cases = [whole, None, b"", b"OggS", whole[:-1], whole[:40] + bytes((whole[40] ^ 1,)) + whole[41:], whole + whole, b"no page at all" * 9]
+    frame = spark.createDataFrame([(i, None if m is None else bytearray(m), 5) for i, m in enumerate(cases)], "id long, media binary, payload int")
+    got = {r.id: r for r in ogg.load_documents(frame).collect()}
+    assert bytes(got[0].payload) == ogg.padded(b"some text") and got[0].media_error is None and got[0].media_seconds == 64 / 8000
+    assert all(got[i].payload is None and got[i].media_feature is None and got[i].media_error for i in range(1, len(cases)))
+    assert got[1].media_error == "null" and ogg.load_documents(frame.limit(0)).count() == 0
 
 
 def test_ogg_pages():
@@ -234,6 +245,60 @@ def test_deep_shallow_order():
         assert shared[n] == lcp
 
 
+def test_long_texts(monkeypatch):
+    """Texts in pieces have the features, n-grams and hits of whole ones."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("ab éñ1 .\nΣ", k=rng.randint(0, 400))) for _ in range(60)] + ["", "é", "abc" * 50]
+    items = [(i, " ".join(rng.choices(["ab", "a", "bé", "é"], k=6))) for i in range(9)]
+    index = decontam.TestIndex.build([(str(i), decontam.words_of(t)) for i, t in items], 3)
+
+    def run():
+        grams = [[x.tolist() for x in langid.count_grams(t)] for t in texts]
+        return grams, [nbsvm.features(t.encode()).tolist() for t in texts], decontam._scan([t.encode() for t in texts], [index], 3)
+
+    want = run()
+    for module, name, size in ((langid, "CHUNK_CHARS", 7), (nbsvm, "PIECE_BYTES", 9), (decontam, "CHUNK_BYTES", 11), (decontam, "SHARD_WORDS", 20)):
+        monkeypatch.setattr(module, name, size)
+    assert run() == want
+    for t, (grams, counts), found in zip(texts, want[0], want[1], strict=True):
+        plain = Counter()
+        for w in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+            p = f" {w} "
+            plain.update([*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))])
+        assert {langid.spell(g): n for g, n in zip(grams, counts, strict=True)} == plain
+        assert found == brute.features(t.encode())
+
+
+def test_longest_matches(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices(["a", "B", "x"], k=rng.randint(0, 40))) for _ in range(40)] + [None, ""]
+    items = [(i, " ".join(rng.choices(["A", "b"], k=rng.randint(0, 14)))) for i in range(20)] + [(90, None), (91, "x"), (91, "a b a")]
+    frame = spark.createDataFrame([(i if i != 3 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.item_id: (r.words, r.doc_id, r.word) for r in decontam.longest_matches(frame, spark.createDataFrame(items, "item_id long, text string"), 4).collect()}
+    want = {}
+    for item, text in items:
+        own = brute.words(text)
+        n = min(4, len(own))
+        for d, t in enumerate(texts):
+            ws = brute.words(t)
+            for a in range(len(ws)):
+                for b in range(len(own) - n + 1 if n else 0):
+                    k = 0
+                    while a + k < len(ws) and b + k < len(own) and ws[a + k] == own[b + k]:
+                        k += 1
+                    if k >= n:
+                        want[str(item)] = min(want.get(str(item), (0, False, 0, 0)), (-k, d == 3, d if d != 3 else 0, a))
+    assert got == {i: (-v[0], None if v[1] else v[2], v[3]) for i, v in want.items()}
+
+
+def test_contamination_shared_preamble():
+    """Many items that begin alike, in a text that repeats the beginning."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    index = decontam.TestIndex.build([(str(i), decontam.words_of(f"{passage} q{i} r{i}")) for i in range(1500)], 10)
+    n_words, ranges, items, longest = decontam._scan([f"{passage} stop. xx. ".encode() * 1500], [index], 10)
+    assert (n_words, longest, len(items[0])) == ([21_000], [12], 1500) and ranges[0] == [(14 * k, 14 * k + 12) for k in range(1500)]
+
+
 def auc(scores, labels):
     order = np.argsort(scores)
     rank = np.empty(len(scores))
@@ -251,6 +316,27 @@ def test_quality_held_out(spark):
     assert auc(np.array([got[d].score for d in held]), np.array([labels[d] for d in held])) > 0.85
 
 
+def test_quality_against_plain_version(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")
+    got = {r.doc_id: r.score for r in queries.op5_quality_classifier(spark, folder).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in texts and brute.crc(str(r.doc_id)) % 5}
+    want = brute.quality_scores([(texts[d], q) for d, q in sorted(known.items())], list(texts.values()))
+    assert list(got[d] for d in texts) == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_bounds(spark):
+    """A bound on bytes takes fewer rows; repeated ids and labels are settled by rule."""
+    docs = spark.createDataFrame([(i // 2, f"{'good words here' if i % 4 < 2 else 'XX 99 !!'} {i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)] + [(i, 0) for i in range(40)], "doc_id long, quality int")
+    a = nbsvm.learn(docs, labels)
+    b = nbsvm.learn(docs.repartition(7), labels.repartition(3))
+    assert np.allclose(a.weights, b.weights, atol=1e-9) and a.score(b"good words here") > a.score(b"XX 99 !!")
+    assert not nbsvm.learn(docs, labels, train_bytes=10).weights.any()
+    assert nbsvm.learn(docs, labels, train_bytes=3000).weights.any()
+
+
 def test_quality_ignores_held_out_labels(spark):
     folder = "/root/testdata/sf0.001"
     docs, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "labels")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import bz2
 import gzip
+import random
 import zlib
 
 import pytest
@@ -30,7 +31,7 @@ def test_long_streams(spark, kind):
         assert cut
         outer = [s for s in spans if not 0 < s[1] < n]  # zstd stores what does not repeat as it is, so it shows there as well
         assert [s[:3] for s in outer] == [("assign", 0, n), ("assign", n + 1, n + 1 + len(url)), ("assign", n + 2 + len(url), len(text))]
-        assert outer[0][3] == (f"base64>{kind}>{kind}{via}" if kind != "zstd" or via else "base64>zstd")
+        assert outer[0][3] == (f"base64>{kind}>{kind}{via}" if kind != "zstd" else f"base64>zstd{via}")  # the fewest decodings
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert secret_scan.digest(frame).head().secrets_cut
     assert secret_scan.redact(frame).head().text == "[secret] [secret] [secret]"
@@ -96,3 +97,50 @@ def test_places_in_wrapped_runs():
 
 def test_long_runs_take_time_in_proportion():
     assert secret_scan.find("A" * 1_000_000 + "\n" + "Ab1 " * 100_000) == ([], False)
+
+
+def _encoded(kind: str, text: str, rng: random.Random) -> tuple[str, list[tuple[int, int]]]:
+    """A text under one plain encoding, and the part of it that each character lies in."""
+    if kind == "url":
+        parts = ["".join(f"%{b:02X}" for b in c.encode()) if rng.random() < 0.6 or c in "%" else c for c in text]
+    elif kind == "unicode":
+        parts = [f"\\u{ord(c):04x}" if rng.random() < 0.6 or c in "\\" else c for c in text]
+    elif kind == "entities":
+        parts = [f"&#{ord(c)};" if rng.random() < 0.6 or c in "&" else c for c in text]
+    else:
+        data = {"base64": bytes, "gzip": gzip.compress, "zlib": zlib.compress, "bzip2": bz2.compress, "utf-16": lambda b: b.decode().encode("utf-16-le")}[kind](text.encode())
+        coded = base64.b64encode(data).decode()
+        if kind != "base64":
+            return coded, [(0, len(coded.rstrip("=")) if kind != "utf-16" else len(coded))] * len(text)
+        at = [0]
+        for c in text:
+            at.append(at[-1] + len(c.encode()))
+        return coded, [(i * 8 // 6, -(-j * 8 // 6)) for i, j in zip(at, at[1:], strict=False)]
+    ends = [0]
+    for p in parts:
+        ends.append(ends[-1] + len(p))
+    return "".join(parts), list(zip(ends, ends[1:], strict=False))
+
+
+def test_random_nestings_are_mapped_back():
+    """Secrets under up to four random encodings are found, at the very characters that carry them where these are known."""
+    rng = random.Random(21)
+    kinds = ["url", "unicode", "entities", "base64", "gzip", "zlib", "bzip2", "utf-16"]
+    for _ in range(150):
+        secret = rng.choice(["password = hunter2hunter2", "AKIA" + "ABCDEFGH12345678", "token:abcdef123456", "0123456789abcdef01234567"])
+        text = f"{rng.choice(['see', 'note here', ''])} {secret} {rng.choice(['and so on', 'x', ''])}"
+        where = [(i, i + 1) for i in range(len(text))]
+        start = text.index(secret)
+        exact = True
+        chain = [rng.choice(kinds) for _ in range(rng.randint(1, 4))]
+        for kind in chain:
+            text, places = _encoded(kind, text, rng)
+            exact &= kind not in ("gzip", "zlib", "bzip2", "utf-16")
+            where = [(places[i][0], places[j - 1][1]) if j > i else (i, j) for i, j in where]
+        before = "Davor steht: "
+        found = secret_scan.find(before + text + " danach.")[0]
+        lo, hi = where[start][0] + len(before), where[start + len(secret) - 1][1] + len(before)
+        near = [s for s in found if s[3] and s[1] < hi and s[2] > lo]
+        assert near, (chain, text)
+        if exact:
+            assert any((i, j) == (lo, hi) for _, i, j, _ in near), (chain, text, near, lo, hi)
