@@ -229,10 +229,15 @@ MODULES: dict[str, dict[str, Callable[[dict[str, str]], str]]] = {
 
 
 class Expander:
-    """Expands templates and parser functions. ``templates`` maps qualified titles to bodies, from ``define_template``."""
+    """Expands templates and parser functions. ``templates`` maps qualified titles to bodies, from ``define_template``.
+
+    Templates that include themselves would never end, so ``cut`` says whether the bound on depth or length was met and
+    something of the text is missing or unexpanded.
+    """
 
     def __init__(self, templates: dict[str, str], title: str = "", deepest: int = 20, longest: int = 2_000_000) -> None:
         self.templates, self.title, self.deepest, self.longest = templates, title, deepest, longest
+        self.cut = False
         page = title.rpartition(":")[2]
         self.magic = {"PAGENAME": page, "FULLPAGENAME": title, "NAMESPACE": title.rpartition(":")[0], "!": "|", "=": "=", "PAGENAMEE": quote(page.replace(" ", "_")), "BASEPAGENAME": page.rpartition("/")[0] or page, "SUBPAGENAME": page.rpartition("/")[2]}
 
@@ -241,6 +246,7 @@ class Expander:
         if args is not None:
             text = self._arguments(text, args)
         if depth > self.deepest:
+            self.cut = True
             return ""
         out, at, size = [], 0, 0
         for i, j in balanced(text, "{{", "}}"):
@@ -248,6 +254,7 @@ class Expander:
             size += len(out[-1])
             at = j
             if size > self.longest:
+                self.cut = True
                 break
         return "".join((*out, text[at:]))
 
@@ -257,7 +264,9 @@ class Expander:
             new = pattern.sub(lambda m: args.get(m[1].strip(), m[2] if m[2] is not None else ""), text)
             if new == text:
                 return new
+            self.cut |= len(new) > self.longest
             text = new[: self.longest]
+        self.cut = True
         return text
 
     def call(self, body: str, depth: int) -> str:
@@ -272,7 +281,8 @@ class Expander:
                 return self.FUNCTIONS[function.lower()](self, first, parts[1:], depth)
             except (ValueError, KeyError, TypeError, ZeroDivisionError, OverflowError, SyntaxError, re.error):
                 return ""
-        body = self.templates.get(name if colon else f"Template:{ucfirst(name)}")
+        title = normal_title(name, frozenset({"Template"}))
+        body = self.templates.get(name if colon else f"Template:{title}", self.templates.get(title if colon else name))
         for _ in range(5):  # redirects
             m = re.match(r"#redirect\s*:?\s*\[\[([^\]|#]+)", body or "", re.I)
             if not m:
@@ -338,10 +348,20 @@ def define_template(body: str) -> str:
     return re.sub(r"(?i)</?includeonly\s*/?>", "", body)
 
 
-# Switches, discarded elements, kept-inside tags and link protocols of the markup.
-SWITCHES = r"__(NOTOC|FORCETOC|TOC|NOEDITSECTION|NEWSECTIONLINK|NONEWSECTIONLINK|NOGALLERY|HIDDENCAT|NOCONTENTCONVERT|NOTITLECONVERT|INDEX|NOINDEX|START|END|STATICREDIRECT|DISAMBIG)__"
-DISCARDED = ["gallery", "timeline", "noinclude", "pre", "table", "tr", "td", "th", "caption", "div", "form", "input", "select", "option", "textarea", "ul", "li", "ol", "dl", "dt", "dd", "menu", "dir", "ref", "references", "img", "imagemap", "source", "small"]
-PROTOCOLS = r"(?:https?|ftps?|ircs?|gopher|telnet|nntp|worldwind|mailto|news|svn|git|mms|bitcoin|magnet|sip|sips|sms|ssh|tel|urn|xmpp|redis|feed|geo):"
+# Switches, discarded elements and link protocols of the markup.
+SWITCHES = [
+    "__NOTOC__", "__FORCETOC__", "__TOC__", "__NEWSECTIONLINK__", "__NONEWSECTIONLINK__", "__NOGALLERY__", "__HIDDENCAT__", "__NOCONTENTCONVERT__", "__NOCC__",
+    "__NOTITLECONVERT__", "__NOTC__", "__START__", "__END__", "__INDEX__", "__NOINDEX__", "__STATICREDIRECT__", "__DISAMBIG__", "__NOEDITSECTION__",
+]
+DISCARDED = [
+    "gallery", "timeline", "noinclude", "pre", "table", "tr", "td", "th", "caption", "div", "form", "input", "select", "option", "textarea",
+    "ul", "li", "ol", "dl", "dt", "dd", "menu", "dir", "ref", "references", "img", "imagemap", "source", "small", "sub", "sup", "indicator",
+]
+PROTOCOLS = [
+    "bitcoin:", "ftp://", "ftps://", "geo:", "git://", "gopher://", "http://", "https://", "irc://", "ircs://", "magnet:", "mailto:", "mms://", "news:",
+    "nntp://", "redis://", "sftp://", "sip:", "sips:", "sms:", "ssh://", "svn://", "tel:", "telnet://", "urn:", "worldwind://", "xmpp:", "//",
+]
+_LINK = "(?:" + "|".join(map(re.escape, PROTOCOLS)) + ")"
 _PLACEHOLDERS = {"math": "formula", "code": "codice"}
 
 
@@ -361,8 +381,11 @@ def wiki_links(text: str, namespaces: frozenset[str] = frozenset({"w", "wiktiona
     return "".join((*out, text[at:]))
 
 
-def wiki_text(text: str, templates: dict[str, str] | None = None, title: str = "", keep_sections: bool = True, keep_lists: bool = False) -> str:
-    """Plain text of wiki markup: templates expanded (or dropped without any), tables, references and markup gone."""
+def wiki_text(text: str, templates: dict[str, str] | None = None, title: str = "", keep_sections: bool = True, keep_lists: bool = False, expander: Expander | None = None) -> str:
+    """Plain text of wiki markup: templates expanded (or dropped without any), tables, references and markup gone.
+
+    An ``expander`` stands in for ``templates`` and tells afterwards whether it met a bound.
+    """
     text = re.sub(r"(?s)<!--.*?-->", "", text)
     kept: list[str] = []
 
@@ -371,9 +394,10 @@ def wiki_text(text: str, templates: dict[str, str] | None = None, title: str = "
         return f"\x00{len(kept) - 1}\x00"
 
     text = re.sub(r"(?is)<nowiki>(.*?)</nowiki>", hide, text)
-    text = Expander(templates, title).expand(text) if templates is not None else drop_nested(text, "{{", "}}")
+    expander = expander or (Expander(templates, title) if templates is not None else None)
+    text = expander.expand(text) if expander else drop_nested(text, "{{", "}}")
     text = drop_nested(text, "{|", "|}")
-    text = re.sub(SWITCHES, "", text)
+    text = re.sub("|".join(SWITCHES), "", text)
     for tag, name in _PLACEHOLDERS.items():
         count = iter(range(1, 1 << 30))
         text = re.sub(rf"(?is)<{tag}\b[^>/]*>.*?</{tag}>", lambda m, n=name, c=count: f"{n}_{next(c)}", text)
@@ -381,8 +405,8 @@ def wiki_text(text: str, templates: dict[str, str] | None = None, title: str = "
     for tag in DISCARDED:
         text = re.sub(rf"(?is)<{tag}\b[^>/]*>.*?</{tag}\s*>", "", text)
     text = wiki_links(text)
-    text = re.sub(rf"\[(?:{PROTOCOLS}|//)\S+\s+([^\]]*)\]", r"\1", text)
-    text = re.sub(rf"\[(?:{PROTOCOLS}|//)[^\]\s]*\]", "", text)
+    text = re.sub(rf"(?i)\[{_LINK}\S+\s+([^\]]*)\]", r"\1", text)
+    text = re.sub(rf"(?i)\[{_LINK}[^\]\s]*\]", "", text)
     text = re.sub(r"'{2,5}", "", text)
     text = re.sub(r"<[^<>]*>", "", unescape_text(text))
     text = text.replace("<<", "«").replace(">>", "»")
@@ -420,23 +444,31 @@ def compact(text: str, keep_sections: bool = True, keep_lists: bool = False) ->
     return "\n".join(out)
 
 
-def extract(rows, templates: dict[str, str] | None = None, base: str = "", least: int = 0):
-    """``(id, url, title, text)`` of ``rows(id, ns, title, redirect, text)`` of a dump: articles without redirects.
+def extract(rows, templates: dict[str, str] | None = None, base: str = "", least: int = 0, include: set[str] | None = None, exclude: set[str] | None = None, keep_disambiguation: bool = True):
+    """``(id, url, title, text, cut)`` of ``rows(id, ns, title, redirect, text)`` of a dump: articles without redirects that ``admitted_page`` admits.
 
-    ``templates`` come from ``collect_templates``, a map whose size that function checks; it is broadcast.
+    ``templates`` come from ``collect_templates``, a map whose size that function checks; it is broadcast. ``cut`` marks
+    pages whose templates met a bound of ``Expander``. Titles are normal ones; null texts count as empty.
     """
     from ..operators.frames import ready
 
-    shared = ready(rows).sparkSession.sparkContext.broadcast(templates)
+    shared = ready(rows).sparkSession.sparkContext.broadcast((templates, include or set(), exclude or set()))
 
     def run(frames):
+        known, inside, outside = shared.value
         for f in frames:
-            found = [wiki_text(t or "", shared.value, n or "") for t, n in zip(f["text"], f["title"], strict=True)]
-            yield pd.DataFrame({"id": f["id"], "title": f["title"], "text": found})
-
-    pages = rows.filter("ns = 0 AND redirect IS NULL").select("id", "title", "text")
-    got = pages.mapInPandas(run, "id long, title string, text string").filter(F.length("text") >= least)
-    return got.select("id", page_url(base, F.col("id")).alias("url"), "title", "text")
+            out = []
+            for i, name, source, categories in zip(f["id"], f["title"], f["text"], f["categories"], strict=True):
+                if not admitted_page(0, set(categories), inside, outside, source or "", keep_disambiguation):
+                    continue
+                expander = Expander(known, name or "") if known is not None else None
+                found = wiki_text(source or "", title=name or "", expander=expander)
+                out.append((i, normal_title(name or ""), found, expander.cut if expander else False))
+            yield pd.DataFrame(out, columns=["id", "title", "text", "cut"])
+
+    pages = rows.filter("ns = 0 AND redirect IS NULL").select("id", "title", "text", dump_categories(F.coalesce("text", F.lit(""))).alias("categories"))
+    got = pages.mapInPandas(run, "id long, title string, text string, cut boolean").filter(F.length("text") >= least)
+    return got.select("id", page_url(base, F.col("id")).alias("url"), "title", "text", "cut")
 
 
 def collect_templates(rows, most_bytes: int = 256 << 20) -> dict[str, str]:

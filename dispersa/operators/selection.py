@@ -18,6 +18,8 @@ from .matroids import Matroid
 
 #: Rows whose distance matrix one task may hold (128 MB).
 MATRIX_ROWS = 4096
+#: Draws of a random independent set that come to the driver together.
+DRAWS = 256
 #: Passes between checkpoints of the running distances.
 CHECKPOINT_EVERY = 8
 
@@ -119,8 +121,9 @@ def pair_distances(points: DataFrame, metric: str = "euclidean", most: int | Non
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", METRICS[metric](F.col("va"), F.col("vb")).alias("distance"))
 
 
-def pair_blocks(points: DataFrame, metric: str = "euclidean", most: int = 200_000, block: int = 2048) -> DataFrame:
-    """Like ``pair_distances``, by numpy blocks: rows are dealt to blocks, and each pair of blocks is one group."""
+def _over_pairs(points: DataFrame, metric: str, most: int, block: int, keep: int | None) -> DataFrame:
+    """``(a, b, distance)`` by numpy blocks: rows are dealt to blocks, and each pair of blocks is one group, of whose pairs
+    all go on or only the ``keep`` farthest, ties to the least ids."""
     n = points.limit(most + 1).count()
     if n > most:
         raise ValueError(f"pairs of more than {most} rows; take a coreset first")
@@ -128,23 +131,45 @@ def pair_blocks(points: DataFrame, metric: str = "euclidean", most: int = 200_00
     side = ready(points).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("x"))
     pairs = side.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "vec", "x", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
 
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame if keep is None else frame.sort_values(["distance", "a", "b"], ascending=[False, True, True]).head(keep)
+
     def run(key, f):
         from ..functions.metrics import distances
 
         lo, hi = key
         p, q = f[f.x == lo], f[f.x == hi]
         vec = np.array(q["vec"].tolist(), float).reshape(len(q), -1)
-        ids, out = q["id"].to_numpy(), []
+        ids, out, held = q["id"].to_numpy(), [], 0
         for i, v in zip(p["id"], p["vec"], strict=True):
-            keep = ids > i if lo == hi else np.ones(len(ids), bool)
-            if keep.any():
-                d = distances(metric, vec[keep], np.asarray(v, float))
-                out.append(pd.DataFrame({"a": np.minimum(i, ids[keep]), "b": np.maximum(i, ids[keep]), "distance": d}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "distance": np.empty(0)})
+            keep_ = ids > i if lo == hi else np.ones(len(ids), bool)
+            if keep_.any():
+                d = distances(metric, vec[keep_], np.asarray(v, float))
+                if keep is not None and len(d) > keep:
+                    top = d >= np.partition(d, len(d) - keep)[len(d) - keep]
+                    own, d = ids[keep_][top], d[top]
+                else:
+                    own = ids[keep_]
+                out.append(pd.DataFrame({"a": np.minimum(i, own), "b": np.maximum(i, own), "distance": d}))
+                held += len(d)
+                if keep is not None and held > 64 * keep:
+                    out = [best(pd.concat(out))]
+                    held = len(out[0])
+        return best(pd.concat(out)) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "distance": np.empty(0)})
 
     return pairs.groupBy("lo", "hi").applyInPandas(run, "a long, b long, distance double")
 
 
+def pair_blocks(points: DataFrame, metric: str = "euclidean", most: int = 200_000, block: int = 2048) -> DataFrame:
+    """Like ``pair_distances``, by numpy blocks."""
+    return _over_pairs(points, metric, most, block, None)
+
+
+def top_pairs(points: DataFrame, k: int, metric: str = "euclidean", most: int = 200_000, block: int = 2048) -> DataFrame:
+    """``(a, b, distance)`` of the k farthest pairs, ties to the least ids; only k pairs leave each pair of blocks."""
+    return _over_pairs(points, metric, most, block, k).orderBy(F.desc("distance"), "a", "b").limit(k)
+
+
 def objectives(points: DataFrame, metric: str = "euclidean") -> DataFrame:
     """``(edge, clique, star, mean_pair)`` of a selection, from one relation of its pairs; ``mean_pair`` is the clique over the number of pairs."""
     pairs = pair_distances(points, metric)
@@ -228,11 +253,15 @@ def bernoulli_rows(points: DataFrame, k: int, share: float, seed: int = 0) -> Da
 
 def random_independent(points: DataFrame, k: int, matroid: Matroid, label: str, seed: int = 0, tries: int = 10_000) -> tuple[DataFrame, int]:
     """k random rows that are independent, and how many draws that took."""
-    for t in range(tries):
-        rows = random_rows(points, k, seed + t)
-        labels = [r[0] for r in rows.select(label).collect()]
-        if len(labels) == k and matroid.independent(labels):
-            return rows, t + 1
+    at = 0
+    while at < tries:
+        # one sort gives many draws: consecutive runs of k rows in an order by seeded hash
+        pool = random_rows(points.select("id", label), k * min(DRAWS, tries - at), seed + at).collect()
+        draws = [pool[i : i + k] for i in range(0, len(pool) - k + 1, k)] or [pool]
+        for t, rows in enumerate(draws):
+            if len(rows) == k and matroid.independent([r[label] for r in rows]):
+                return points.filter(F.col("id").isin([r.id for r in rows])), at + t + 1
+        at += len(draws)
     raise ValueError(f"no independent set in {tries} draws")
 
 

@@ -61,15 +61,20 @@ def tf_idf(counts: DataFrame, weights: DataFrame, least_count: float = 1) -> Dat
     return counts.join(weights.select("word", "idf"), "word").select(key, "word", (F.col("n") * F.col("idf")).alias("weight"))
 
 
+def sparse(size: int, cells: Column) -> Column:
+    """An ML sparse vector of an array of (index, value); no built-in function makes one."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    make = F.udf(lambda at, values: Vectors.sparse(size, at, values), VectorUDT())
+    cells = F.array_sort(cells)
+    return make(F.transform(cells, lambda c: c["index"]), F.transform(cells, lambda c: c["weight"]))
+
+
 def vectors(rows: DataFrame, words: DataFrame) -> DataFrame:
     """``(key, vec)``: ML sparse vectors of (key, word, weight) by the index in ``words(word, index)``."""
-    from pyspark.ml.functions import array_to_vector
-
     key = rows.columns[0]
-    size = words.count()
-    cells = rows.join(words, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("index", "weight"))).alias("cells"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("cells"), i), F.lit(0.0)))
-    return cells.select(key, array_to_vector(dense).alias("vec"))
+    cells = rows.join(words, "word").groupBy(key).agg(F.collect_list(F.struct(F.col("index").cast("int").alias("index"), F.col("weight").cast("double").alias("weight"))).alias("cells"))
+    return cells.select(key, sparse(words.count(), F.col("cells")).alias("vec"))
 
 
 class CategoryIndex:
@@ -105,13 +110,16 @@ def mean_vectors(counts: DataFrame, embeddings: DataFrame, weighted: bool = Fals
     """``(key, vec)``: for each document the mean of the vectors in ``embeddings(word, vec)`` of its known words.
 
     By tokens, each as often as it occurs; ``weighted`` sums likewise but divides by the number of distinct known words.
-    Documents without a known word have no row. Dimensions are summed one by one, so the sum combines map-side.
+    Documents without a known word have no row. Whole vectors are summed, map-side first.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     key = counts.columns[0]
-    cells = counts.join(embeddings.select("word", "vec"), "word").select(key, "word", "n", F.posexplode("vec").alias("d", "x"))
-    by = F.sum(F.col("x") * F.col("n")) / (F.count(F.lit(1)) if weighted else F.sum("n"))
-    sums = cells.groupBy(key, "d").agg(by.alias("x"))
-    return sums.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("vec"))
+    known = embeddings.select("word", array_to_vector(F.col("vec").cast("array<double>")).alias("__v"))
+    told = counts.join(known, "word").groupBy(key).agg(Summarizer.metrics("mean").summary(F.col("__v"), F.col("n").cast("double")).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
+    mean = vector_to_array("s.mean")
+    return told.select(key, (F.transform(mean, lambda x: x * F.col("n") / F.col("words")) if weighted else mean).alias("vec"))
 
 
 def without_stop_words(rows: DataFrame, column: str, more: list[str] | None = None) -> DataFrame:

@@ -158,10 +158,8 @@ def sampled_diversity(spark, sf_dir):
 
 @query(f"WITH {POINTS}, d AS MATERIALIZED (SELECT a.id AS a, b.id AS b, list_distance(a.vec, b.vec) AS d FROM p a JOIN p b ON a.id < b.id) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(d, 4) AS distance FROM d ORDER BY d DESC, a, b LIMIT 1")
 def diameter_pair(spark, sf_dir):
-    """The farthest pair of all vectors, by numpy blocks and one aggregate."""
-    pairs = selection.pair_blocks(points(spark, sf_dir))
-    far = pairs.agg(F.max_by(F.struct("a", "b", "distance"), F.struct("distance", -F.col("a"), -F.col("b"))).alias("f"))
-    return far.select("f.a", "f.b", r4(F.col("f.distance"), "distance"))
+    """The farthest pair of all vectors, by numpy blocks of which each gives one."""
+    return selection.top_pairs(points(spark, sf_dir), 1).select("a", "b", r4(F.col("distance"), "distance"))
 
 
 @query()
@@ -325,11 +323,11 @@ def idf_table(spark, sf_dir):
     return text.idf(text.word_counts(docs), docs.count()).select("word", "df", "total", r4(F.col("idf"), "idf"))
 
 
-@query(f"WITH {WORDS}, f AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM w GROUP BY word HAVING count(*) >= 2 ORDER BY sum(n) DESC, word LIMIT 5000) SELECT doc_id, w.word, round(n * idf, 4) AS weight FROM w JOIN f USING (word)")
+@query(f"WITH {WORDS}, f AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM w GROUP BY word ORDER BY sum(n) DESC, word LIMIT 262144) SELECT doc_id, w.word, round(n * idf, 4) AS weight FROM w JOIN f USING (word)")
 def tfidf_weights(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     counts = text.word_counts(docs)
-    weights = text.idf(counts, docs.count(), smoothed=True).join(text.vocabulary(counts, 5000, 2).select("word"), "word", "left_semi")
+    weights = text.idf(counts, docs.count(), smoothed=True).orderBy(F.desc("total"), "word").limit(1 << 18)
     return text.tf_idf(counts, weights).select("doc_id", "word", r4(F.col("weight"), "weight"))
 
 
@@ -347,12 +345,18 @@ def category_index(spark, sf_dir):
     return both.select("p_partkey", F.array_join(F.transform("numbers", lambda i: i.cast("string")), ",").alias("numbers"), F.array_join("back", " ").alias("back"))
 
 
-@query(f"WITH {WORDS}, v AS (SELECT word, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM (SELECT word, sum(n) AS total FROM w GROUP BY word ORDER BY total DESC, word LIMIT 500)), e AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = i), m AS (SELECT doc_id, sum(n) AS s, sum(n * vec[1]) AS x, sum(n * vec[2]) AS y FROM w JOIN e USING (word) GROUP BY doc_id) SELECT doc_id, round(x / s, 4) AS x, round(y / s, 4) AS y FROM m")
+def ranked_vectors(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
+    """``(word, vec)``: every vector of the embeddings, given to the word of its rank by count."""
+    known = points(spark, sf_dir)
+    words = text.vocabulary(counts, known.count()).withColumn("i", F.row_number().over(Window.orderBy(F.desc("total"), "word")) - 1)
+    return words.join(known, F.col("i") == F.col("id")).select("word", "vec")
+
+
+@query(f"WITH {WORDS}, v AS (SELECT word, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM (SELECT word, sum(n) AS total FROM w GROUP BY word)), e AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = i), m AS (SELECT doc_id, sum(n) AS s, sum(n * vec[1]) AS x, sum(n * vec[2]) AS y FROM w JOIN e USING (word) GROUP BY doc_id) SELECT doc_id, round(x / s, 4) AS x, round(y / s, 4) AS y FROM m")
 def mean_word_vector(spark, sf_dir):
     """Mean vector of each document's known words; the most frequent words take the vectors of the embeddings by rank."""
     counts = text.word_counts(table(spark, sf_dir, "documents"))
-    words = text.vocabulary(counts, 500).withColumn("i", F.row_number().over(Window.orderBy(F.desc("total"), "word")) - 1)
-    vecs = words.join(points(spark, sf_dir), F.col("i") == F.col("id")).select("word", "vec")
+    vecs = ranked_vectors(spark, sf_dir, counts)
     return text.mean_vectors(counts, vecs).select("doc_id", r4(F.element_at("vec", 1), "x"), r4(F.element_at("vec", 2), "y"))
 
 
@@ -364,15 +368,15 @@ def title_only_filter(spark, sf_dir):
 
 @query()
 def stem_tokens(spark, sf_dir):
-    docs = ready(table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text"))
+    docs = ready(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.explode(stems(text.tokens(F.col("text")))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def topic_threshold(spark, sf_dir):
-    """Topics of at least a tenth of each document, by a small LDA model of all documents."""
+    """Topics of at least a tenth of each document, by an LDA model of all documents with the operator's own parameters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text.tokens(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    return text.topics(docs, "words", k=5, iterations=3, size=2000)[0].select("doc_id", "topic")
+    return text.topics(docs, "words")[0].select("doc_id", "topic")
 
 
 @query()

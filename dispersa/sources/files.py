@@ -118,12 +118,15 @@ def read_caps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def songs(bags: DataFrame, genres: DataFrame, size: int = 5000) -> DataFrame:
-    """``(track_id, genre, vec)``: sparse vectors of bags by word id minus 1; a track without a genre is ``Unknown``."""
-    from pyspark.ml.functions import array_to_vector
+    """``(track_id, genre, vec)``: sparse vectors of bags by word id minus 1; a track without a genre is ``Unknown``.
 
-    dense = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: F.coalesce(F.try_element_at("bag", i.cast("string")), F.lit(0.0)))
+    Words beyond ``size`` are left out.
+    """
+    from ..operators.text import sparse
+
+    cells = F.filter(F.transform(F.map_entries("bag"), lambda e: F.struct((e["key"].cast("int") - 1).alias("index"), e["value"].cast("double").alias("weight"))), lambda c: (c["index"] >= 0) & (c["index"] < size))
     joined = bags.withColumnRenamed("doc_id", "track_id").join(genres, "track_id", "left")
-    return joined.select("track_id", F.coalesce("genre", F.lit("Unknown")).alias("genre"), array_to_vector(dense).alias("vec"))
+    return joined.select("track_id", F.coalesce("genre", F.lit("Unknown")).alias("genre"), sparse(size, cells).alias("vec"))
 
 
 def read_embeddings_text(spark: SparkSession, path: str) -> DataFrame:

@@ -117,6 +117,10 @@ class DoublingCoreset:
             for r in rows:
                 yield "delegate", c[0], r[0], r[1]
 
+    def delegate_radius(self) -> float:
+        """The largest distance of a kept row from its centre."""
+        return max((float(distances(self.metric, np.array([r[1] for r in rows], float), np.asarray(c[1], float)).max()) for c, rows in zip(self.centres, self.kept, strict=True) if rows), default=0.0)
+
     def farness(self) -> float:
         """The least distance of two centres."""
         points = np.array([c[1] for c in self.centres], float)
@@ -135,28 +139,34 @@ class DoublingCoreset:
 SNAPSHOT = "shard long, version long, role string, center_id long, id long, vec array<double>, threshold double"
 
 
-def stream_coreset(points: DataFrame, tau: int, delegates: int = 1, metric: str = "euclidean", shards: int = 8) -> DataFrame:
+def stream_coreset(points: DataFrame, tau: int, delegates: int = 1, metric: str = "euclidean", shards: int = 8, matroid: Matroid | None = None, k: int = 0, label: str | None = None) -> DataFrame:
     """A streaming ``(id, vec)`` to snapshots of its coreset: after each trigger every shard with new rows sends all rows it keeps.
 
+    With a ``matroid`` over the column ``label``, a centre keeps those rows of its cluster that independent sets of k rows may need.
+
     ``version`` counts a shard's snapshots; the coreset of the stream is the union of the latest of each shard. Rows of a
     trigger are taken by id, so a replay after a failure gives the same state.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        machine, version = DoublingCoreset(tau, delegates, metric), 0
+        machine, version = DoublingCoreset(tau, delegates, metric, matroid, k), 0
         if state.exists:
             version, held = state.get
             machine.load(held)
         rows = pd.concat(list(frames)).sort_values("id", kind="stable")
-        for i, v in zip(rows["id"], rows["vec"], strict=True):
-            machine.update(i, v)
+        labels = rows["label"] if matroid else [None] * len(rows)
+        for i, v, own in zip(rows["id"], rows["vec"], labels, strict=True):
+            machine.update(i, v, list(own) if isinstance(own, np.ndarray) else own)
         state.update((version + 1, machine.dump()))
-        shown = DoublingCoreset(tau, delegates, metric).load(machine.dump())
+        shown = DoublingCoreset(tau, delegates, metric, matroid, k).load(machine.dump())
         shown.finish()
         kept = list(shown.rows())
         yield pd.DataFrame({"shard": key[0], "version": version + 1, "role": [r[0] for r in kept], "center_id": [r[1] for r in kept], "id": [r[2] for r in kept], "vec": [r[3] for r in kept], "threshold": shown.threshold})
 
-    dealt = ready(points).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
+    if (matroid is None) != (label is None):
+        raise ValueError("a matroid and its label column come together")
+    own = [F.col(label).alias("label")] if label else []
+    dealt = ready(points).select("id", "vec", *own, F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandasWithState(step, SNAPSHOT, "version long, held string", "append", "NoTimeout")
 
 
