@@ -61,6 +61,11 @@ def cosine_half(a: Column, b: Column) -> Column:
     return 2 * F.acos(cosine_similarity(a, b)) / F.pi()
 
 
+def cosine_scaled(factor: float) -> Callable[[Column, Column], Column]:
+    """The metric of the angle times a factor."""
+    return lambda a, b: factor * F.acos(cosine_similarity(a, b))
+
+
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "euclidean": euclidean,
     "sq_euclidean": sq_euclidean,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import materialize
+
 #: Marks that a token of symbols alone consists of, and bracket names that taggers emit.
 SYMBOLS = r"^[^\p{L}\p{N}]*$"
 BRACKETS = ["-lrb-", "-rrb-", "-lsb-", "-rsb-", "-lcb-", "-rcb-"]
@@ -130,14 +132,15 @@ def without_stop_words(rows: DataFrame, column: str, more: list[str] | None = No
     return out.withColumn(column, F.col("__kept")).drop("__kept")
 
 
-def topics(rows: DataFrame, column: str, k: int = 100, iterations: int = 20, seed: int = 0, least_score: float = 0.1, size: int = 50_000) -> tuple[DataFrame, object, list[str]]:
+def topics(rows: DataFrame, column: str, k: int = 100, iterations: int = 10, seed: int = 0, least_score: float = 0.1, size: int = 5000) -> tuple[DataFrame, object, list[str]]:
     """LDA over a column of tokens: ``rows`` with ``topic``, the topics of at least that share; the model; its words."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
     counter = CountVectorizer(inputCol=column, outputCol="__counts", vocabSize=size).fit(rows)
-    counted = counter.transform(rows)
+    # every round passes over the counts, and a row costs far more to fit than to move
+    counted = materialize(counter.transform(rows).repartition(max(rows.rdd.getNumPartitions(), rows.sparkSession.sparkContext.defaultParallelism)))
     model = LDA(k=k, maxIter=iterations, seed=seed, featuresCol="__counts", topicDistributionCol="__topics").fit(counted)
     shares = model.transform(counted).withColumn("__shares", vector_to_array("__topics"))
     kept = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.element_at("__shares", i + 1) >= least_score)

@@ -34,4 +34,15 @@ def parted(parts: int, tau: int, rows_per_part: int) -> str:
     return ",\n".join(out)
 
 
+def matching(k: int, parts: int = 4, tau: int = 16, rows_per_part: int = 100_000) -> str:
+    """CTEs of the greedy matching of the kernels of all parts: t(step, a, b, d)."""
+    out = [f"WITH {parted(parts, tau, rows_per_part)}", "e AS MATERIALIZED (SELECT x.id AS a, y.id AS b, list_distance(x.vec, y.vec) AS d FROM c x JOIN c y ON x.id < y.id)", "t0 AS MATERIALIZED (SELECT 0 AS step, * FROM e ORDER BY d DESC, a, b LIMIT 1)"]
+    for i in range(1, k // 2):
+        used = f"(SELECT a FROM t{i - 1} UNION ALL SELECT b FROM t{i - 1})"
+        out.append(f"t{i} AS MATERIALIZED (SELECT * FROM t{i - 1} UNION ALL (SELECT {i} AS step, * FROM e WHERE a NOT IN {used} AND b NOT IN {used} ORDER BY d DESC, a, b LIMIT 1))")
+    out.append(f"m AS MATERIALIZED (SELECT a AS id FROM t{k // 2 - 1} UNION ALL SELECT b FROM t{k // 2 - 1})")
+    out.append("f AS MATERIALIZED (SELECT e.* FROM e WHERE a IN (SELECT id FROM m) AND b IN (SELECT id FROM m))")
+    return ",\n".join(out)
+
+
 WORDS = r"w AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+')) AS word FROM documents) WHERE length(word) >= 2 GROUP BY doc_id, word)"

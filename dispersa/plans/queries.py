@@ -15,7 +15,7 @@ from ..operators import coresets, partitioning, selection, statistics, text
 from ..operators.frames import ready
 from ..operators.matroids import Partition, Transversal, Uniform
 from . import flows
-from .oracles import DISTANCE, POINTS, WORDS, parted, traversal
+from .oracles import DISTANCE, POINTS, WORDS, matching, parted, traversal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -125,7 +125,7 @@ def cluster_sizes_radius(spark, sf_dir):
     return selection.radius(got).select("center_id", "size", r4(F.col("radius"), "radius"))
 
 
-@query()
+@query(f"{matching(8, PARTS, TAU, coresets.ROWS_PER_PART)} SELECT CAST(2 * step AS INT) AS rank, CAST(a AS BIGINT) AS id FROM t3 UNION ALL SELECT CAST(2 * step + 1 AS INT), CAST(b AS BIGINT) FROM t3")
 def matching_pairs(spark, sf_dir):
     """Greedy matching of a coreset."""
     rows = points(spark, sf_dir)
@@ -162,13 +162,22 @@ def diameter_pair(spark, sf_dir):
     return selection.top_pairs(points(spark, sf_dir), 1).select("a", "b", r4(F.col("distance"), "distance"))
 
 
-@query()
+_BOUND = f"""WITH {parted(PARTS, TAU, coresets.ROWS_PER_PART)},
+o AS (SELECT *, row_number() OVER (PARTITION BY pid, center_id, label ORDER BY id) AS rc FROM n),
+core AS MATERIALIZED (SELECT DISTINCT id FROM (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY pid, center_id ORDER BY id) AS r FROM o WHERE rc <= 1) WHERE r <= 2 UNION ALL SELECT id FROM c)),
+x AS MATERIALIZED (SELECT p.* FROM p JOIN core USING (id)),
+e AS MATERIALIZED (SELECT s.id AS a, t.id AS b, s.label AS la, t.label AS lb, list_distance(s.vec, t.vec) AS d FROM x s JOIN x t ON s.id < t.id),
+far AS MATERIALIZED (SELECT * FROM e ORDER BY d DESC, a, b LIMIT 1),
+alt AS (SELECT e.* FROM e, far WHERE e.la <> e.lb AND (e.a IN (far.a, far.b) OR e.b IN (far.a, far.b)) ORDER BY e.d DESC, e.a, e.b LIMIT 1)"""
+
+
+@query(f"{_BOUND} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(d, 4) AS distance FROM (SELECT * FROM far WHERE la <> lb UNION ALL SELECT * FROM alt WHERE (SELECT la = lb FROM far))")
 def diameter_bound(spark, sf_dir):
     """The farthest pair of a coreset that may be chosen together when no two rows may share a label."""
     rows = points(spark, sf_dir)
     caps = {c: 1 for c in CAPS}
     core = coresets.matroid_coreset(rows, 2, Partition(caps), "label", tau=TAU, pid=pid(rows))
-    return selection.diameter(core.select("id", "vec", "label"), "euclidean", Partition(caps), "label")
+    return selection.diameter(core.select("id", "vec", "label"), "euclidean", Partition(caps), "label").select("a", "b", r4(F.col("distance"), "distance"))
 
 
 # --- coresets ---------------------------------------------------------------------------------------------------
