@@ -65,6 +65,12 @@ def farthest_points(points: DataFrame, k: int, metric: str = "euclidean", start=
     return points.sparkSession.createDataFrame(rows, "step int, id long, vec array<double>, radius double")
 
 
+def random_start(points: DataFrame, seed: int = 0):
+    """The id of a row drawn by seeded hash, as a start of a traversal; the same for the same rows and seed. None for an empty table."""
+    first = points.agg(F.min(F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), "id")).alias("m")).head().m
+    return first.id if first else None
+
+
 def farthest_to_radius(points: DataFrame, radius: float, metric: str = "euclidean", start=None, most: int = 10_000) -> DataFrame:
     """``(id, vec)`` of as few traversal steps as leave every row within ``radius``; ValueError beyond ``most`` of them."""
     t = _Traversal(points, metric, start)

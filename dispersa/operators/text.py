@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import materialize
@@ -147,6 +147,27 @@ def topics(rows: DataFrame, column: str, k: int = 100, iterations: int = 10, see
     return shares.withColumn("topic", kept).drop("__counts", "__topics", "__shares"), model, counter.vocabulary
 
 
+def save_topics(model, words: list[str], spark: SparkSession, path: str) -> None:
+    """The model of ``topics`` and its words, under one path."""
+    model.write().overwrite().save(f"{path}/model")
+    spark.createDataFrame(list(enumerate(words)), "i int, word string").write.mode("overwrite").parquet(f"{path}/words")
+
+
+def load_topics(spark: SparkSession, path: str) -> tuple[object, list[str]]:
+    from pyspark.ml.clustering import LocalLDAModel
+
+    return LocalLDAModel.load(f"{path}/model"), [r.word for r in spark.read.parquet(f"{path}/words").orderBy("i").collect()]
+
+
+def describe_topics(model, words: list[str], most: int = 10) -> DataFrame:
+    """``(topic, words, weights)`` of the heaviest words of each topic."""
+    told = model.describeTopics(most)
+    names = told.sparkSession.createDataFrame(list(enumerate(words)), "i int, word string")
+    cells = told.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("k", "t")).select("topic", "k", F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("w"))
+    put = F.array_sort(F.collect_list(F.struct("k", "word", "w")))
+    return cells.join(names, "i").groupBy("topic").agg(put.alias("x")).select("topic", F.transform("x", lambda x: x["word"]).alias("words"), F.transform("x", lambda x: x["w"]).alias("weights"))
+
+
 def word_vectors(rows: DataFrame, column: str, size: int = 300, share: float = 0.01, seed: int = 0, least: int = 5) -> tuple[DataFrame, object]:
     """Word2Vec fitted on a share of the rows: ``rows`` with ``vec``, and the model."""
     from pyspark.ml.feature import Word2Vec
