@@ -196,3 +196,56 @@ def quality_scores(train: list[tuple[bytes, int]], texts: list[bytes]) -> list[f
             break
     whole = learn(rows)
     return [1 / (1 + math.exp(-max(a, 1e-3) * whole(features(t)) - b)) for t in texts]
+
+
+def spark_hash(*values: tuple[int, int]) -> int:
+    """The engine's 64-bit hash of integers given with their widths in bytes, as a signed number."""
+    h = 42
+    for value, width in values:
+        h = xxhash.xxh64_intdigest(value.to_bytes(width, "little", signed=True), seed=h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def propagated(groups: dict[int, list[int]], labels: dict[int, int], shards: int, rounds: int) -> tuple[dict[int, int], list[int]]:
+    """Labels of rows after label propagation under quotas, and the cuts before each round."""
+    room = max(1, len(labels) // shards)
+    small = {g: rows for g, rows in groups.items() if 1 < len(rows) <= room}
+    large = {r for g, rows in groups.items() if len(rows) > room for r in rows}
+    of_row = defaultdict(list)
+    for g, rows in small.items():
+        for r in rows:
+            of_row[r].append(g)
+    now, best, cuts = dict(labels), dict(labels), []
+    for turn in range(rounds + 1):
+        votes = {g: Counter(now[r] for r in rows) for g, rows in small.items()}
+        cut = sum(len(v) - 1 for v in votes.values())
+        if cuts and cut >= cuts[-1]:
+            break
+        best = dict(now)
+        cuts.append(cut)
+        if not cut or turn == rounds:
+            break
+        held = Counter(now[r] for r in now if r in of_row or r in large)
+        target = {}
+        for r, gs in of_row.items():
+            told = Counter()
+            for g in gs:
+                told.update(votes[g])
+            scores = [told[s] * max(0.05, 1 - 0.5 * max(0.0, held[s] / room - 0.5)) + (told[s] > 0) * (spark_hash((min(gs), 8), (s, 4), (turn, 4)) % 1000) / 4000 for s in range(shards)]
+            target[r] = scores.index(max(scores))
+        demand = Counter((now[r], t) for r, t in target.items() if now[r] != t)
+        if not demand:
+            break
+        share = {}
+        for j in range(shards):
+            inward = {i: n for (i, k), n in demand.items() if k == j}
+            matched = {i: min(n, demand[j, i]) for i, n in inward.items()}
+            rest = sum(inward.values()) - sum(matched.values())
+            for i, n in inward.items():
+                extra = (n - matched[i]) * min(1.0, max(0, room - held[j]) / rest) if rest else 0
+                share[i, j] = int(1e6 * (matched[i] + extra) / n)
+        for r, t in target.items():
+            lot = spark_hash((min(of_row[r]), 8), (turn, 4)) % 500_000 + (500_000 if max(len(small[g]) for g in of_row[r]) * 4 > room else 0)
+            if now[r] != t and lot < share[now[r], t]:
+                now[r] = t
+    return best, cuts

@@ -526,6 +526,31 @@ def test_sharding_keeps_groups_together(spark):
     assert kept < 0.35 * dealt
 
 
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_propagation_against_plain_version(spark, monkeypatch, hot):
+    """Overlapping groups, some too large for a shard: the same labels as the plain version, and fewer cuts than before."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rng = random.Random(hot)
+    labels = {r: rng.randrange(6) for r in range(600)}
+    groups = {g: sorted(rng.sample(range(600), rng.choice([1, 2, 3, 5, 30]))) for g in range(-40, 60)}
+    groups[99] = list(range(150))
+    scratch = Scratch(spark, "test")
+    linked = scratch.table(spark.createDataFrame([(r, g, len(rows)) for g, rows in groups.items() for r in rows], "rid long, g long, n long"), "linked")
+    frame = spark.createDataFrame(list(labels.items()), "rid long, shard int")
+    got = {r.rid: r.shard for r in sharding.propagate(linked, frame, 6, 12, scratch).collect()}
+    want, cuts = brute.propagated(groups, labels, 6, 12)
+    assert got == want and len(cuts) > 2 and cuts[-1] < 0.8 * cuts[0]
+
+
+def test_sharding_whatever_the_layout(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(40)]), rng.choice(["a", "b", "c", None, str(rng.random())])) for _ in range(300)]
+    a = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    b = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string").coalesce(2)
+    x, y = ([tuple(r) for r in sharding.shard_documents(f, shards=5).collect()] for f in (a, b))
+    assert Counter(x) == Counter(y)
+
+
 def test_registered(spark):
     entry = importlib.import_module("__spark_entry__")
     assert {f"op{n}_" for n in range(1, 11)} == {q[: q.index("_") + 1] for q in queries.QUERIES}
