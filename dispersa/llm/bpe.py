@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -39,7 +40,13 @@ class Vocabulary:
         self.longest = max(map(len, self.rank))
         self._splits: dict[int, tuple[int, int] | None] = {}
         self._valid: dict[int, bool] = {}
-        self.made = {t: i for t, i in self.rank.items() if self.split(i) is not None}
+        found = ahocorasick.Automaton()
+        for t, i in self.rank.items():
+            if self.split(i) is not None:  # merging makes it
+                found.add_word(t.decode("latin-1"), (i, len(t)))
+        found.make_automaton()
+        #: Places and tokens that end there, with their lengths, of bytes as Latin-1.
+        self.ending = found.iter
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; itself twice for one byte; None if merging never makes it."""
@@ -97,21 +104,22 @@ class PrefixTable:
 
     def _fill(self, stop: int) -> None:
         v, data, last = self.vocabulary, self.data, self.last
-        made, known, stays, longest = v.made.get, v._valid.get, v.stays, v.longest
-        for end in range(len(last) + 1, stop + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = made(data[start:end])
-                if token is None:
-                    continue
-                if not start:
-                    break
+        known, stays, done = v._valid.get, v.stays, len(last)
+        base = done + 1 - v.longest if done >= v.longest else 0
+        for at, (token, size) in v.ending(data[base:stop].decode("latin-1")):
+            end = base + at + 1
+            if end <= done:
+                continue
+            start = end - size
+            if start:
                 left = last[start - 1]
                 valid = known(left << 32 | token)
-                if valid or valid is None and stays(left, token):
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+                if not (valid or valid is None and stays(left, token)):
+                    continue
             last.append(token)
+            done += 1
+        if done < stop:
+            raise ValueError("the vocabulary lacks a byte")
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Puts ``new`` in place of bytes start to stop; returns how many entries were computed."""
