@@ -41,6 +41,13 @@ def unescape(text: Column) -> Column:
     return pandas_udf(_unescape, StringType())(text)
 
 
+def plane_zero(reference: Column) -> Column:
+    """The character of a decimal reference such as ``&#233;``; empty from 0x10000 on, null for what is no reference."""
+    code = F.regexp_extract(reference, r"^&#([0-9]{1,18});$", 1).try_cast("long")
+    low = code.between(0, 0xFFFF)
+    return F.when(low, F.decode(F.unhex(F.lpad(F.hex(F.when(low, code)), 4, "0")), "UTF-16BE")).when(code > 0xFFFF, F.lit(""))
+
+
 def ucfirst(s: str) -> str:
     return s[:1].upper() + s[1:]
 
@@ -480,6 +487,6 @@ def collect_templates(rows, most_bytes: int = 256 << 20) -> dict[str, str]:
     return {r.title: define_template(r.text) for r in found.toLocalIterator()}
 
 
-def dump_categories(text: Column) -> Column:
+def dump_categories(text: Column | str) -> Column:
     """The categories that a page's source names."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[Category:([^\]|]+)"), 1), lambda c: F.trim(c)))

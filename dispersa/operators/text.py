@@ -33,6 +33,12 @@ def bags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.join(one, key, "left").withColumn("bag", F.coalesce("bag", F.expr("cast(map() AS map<string,double>)")))
 
 
+def bag_text(bag: Column) -> Column:
+    """A bag as text, ``[word -> count, ...]`` by word; an empty one is ``[]``."""
+    pairs = F.transform(F.array_sort(F.map_entries(bag)), lambda e: F.concat(e["key"], F.lit(" -> "), F.format_string("%.0f", e["value"])))
+    return F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]"))
+
+
 def document_frequency(counts: DataFrame) -> DataFrame:
     """``(word, df, total)`` of rows (key, word, n) that are unique in key and word."""
     return counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total"))

@@ -5,7 +5,7 @@ Formats are written to a new path in the shared folder and read from there by th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, metrics
@@ -27,7 +27,7 @@ def _lines(spark: SparkSession, rows: DataFrame, value) -> str:
 # --- files ------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(vec_id AS BIGINT) AS id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 4) AS x, (SELECT count(*) FROM embeddings) AS stored FROM embeddings")
+@query("SELECT CAST(vec_id AS BIGINT) AS id, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 4) + 0.0 AS x, (SELECT count(*) FROM embeddings) AS stored FROM embeddings")
 def points_file(spark, sf_dir):
     """Points and their metadata, written and read."""
     path = files.points_path(shared_folder(spark, "points"), "embeddings", 64, 0, 0)
@@ -37,13 +37,13 @@ def points_file(spark, sf_dir):
     return files.read_points(spark, path, recursive=True).select("id", F.size("vec").cast("long").alias("dim"), r4(F.element_at("vec", 1), "x"), F.lit(stored).cast("long").alias("stored"))
 
 
-@query("SELECT count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) AS x, round(sum(CAST(embedding[64] AS DOUBLE)), 4) AS y FROM embeddings")
+@query("SELECT count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 4) + 0.0 AS x, round(sum(CAST(embedding[64] AS DOUBLE)), 4) + 0.0 AS y FROM embeddings")
 def points_text(spark, sf_dir):
     """One line a point, coordinates joined by commas."""
     path = shared_folder(spark, "points-text")
     files.write_points_text(points(spark, sf_dir), path)
     parts = F.split("value", ",")
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(parts[0].cast("double")), 4).alias("x"), F.round(F.sum(F.element_at(parts, 64).cast("double")), 4).alias("y"))
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("n"), r4(F.sum(parts[0].cast("double")), "x"), r4(F.sum(F.element_at(parts, 64).cast("double")), "y"))
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS p_partkey, p_brand FROM part")
@@ -130,14 +130,14 @@ def song_vectors(spark, sf_dir):
     return got.select("track_id", "genre", F.size(F.filter("x", lambda v: v != 0)).cast("long").alias("words"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 
-@query("SELECT 'word' || CAST(vec_id AS VARCHAR) AS word, len(embedding) AS dim, round(CAST(embedding[64] AS DOUBLE), 4) AS x FROM embeddings")
+@query("SELECT 'word' || CAST(vec_id AS VARCHAR) AS word, len(embedding) AS dim, round(CAST(embedding[64] AS DOUBLE), 4) + 0.0 AS x FROM embeddings")
 def embeddings_text_file(spark, sf_dir):
     """Lines ``word f1 ... fd``."""
     path = _lines(spark, points(spark, sf_dir), F.concat_ws(" ", F.concat(F.lit("word"), F.col("id").cast("string")), F.array_join(F.transform("vec", lambda x: x.cast("string")), " ")))
     return files.read_embeddings_text(spark, path).select("word", F.size("vec").cast("long").alias("dim"), r4(F.element_at("vec", 64), "x"))
 
 
-@query("SELECT CAST(vec_id AS BIGINT) AS id, 'page ' || CAST(vec_id AS VARCHAR) AS title, CAST(label AS BIGINT) AS topic, round(CAST(embedding[2] AS DOUBLE), 4) AS x FROM embeddings WHERE vec_id % 7 <> 0")
+@query("SELECT CAST(vec_id AS BIGINT) AS id, 'page ' || CAST(vec_id AS VARCHAR) AS title, CAST(label AS BIGINT) AS topic, round(CAST(embedding[2] AS DOUBLE), 4) + 0.0 AS x FROM embeddings WHERE vec_id % 7 <> 0")
 def topic_pages_file(spark, sf_dir):
     """JSON lines in bz2 with a vector as text; rows without topics or with a zero vector are dropped."""
     rows = points(spark, sf_dir)
@@ -175,6 +175,30 @@ def dump_extract(spark, sf_dir):
     return markup.extract(_dump(spark, sf_dir), templates, "https://wiki", exclude={left_out})
 
 
+@query("SELECT 'Part ' || CAST(p_partkey AS VARCHAR) AS title, p_brand AS categories FROM part")
+def page_categories(spark, sf_dir):
+    """Titles and categories, joined by commas, of the pages of a dump."""
+    return _dump(spark, sf_dir).select("title", F.array_join(markup.dump_categories("text"), ",").alias("categories"))
+
+
+@query("SELECT doc_id, text, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pos FROM documents WHERE text IS NOT NULL")
+def pages_in_order(spark, sf_dir):
+    """Pages written in order to bz2 files of a bounded size; ``pos`` is the place across all files."""
+    path = shared_folder(spark, "pages")
+    files.write_pages(table(spark, sf_dir, "documents").select("doc_id", "text").filter("text IS NOT NULL"), path, 64 << 10, "doc_id")
+    lines = spark.read.schema("doc_id long, text string").json(path).select("*", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("m"))
+    firsts = lines.groupBy("file").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = firsts.select("file", "first", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    return lines.join(before, "file").select("doc_id", "text", (F.col("m") - F.col("first") + F.col("before")).alias("pos"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE chr(CAST(33 + doc_id % 55000 AS INT)) END AS sign FROM documents")
+def character_references(spark, sf_dir):
+    """Characters of numeric references, none beyond the first plane."""
+    code = F.when(F.col("doc_id") % 9 == 0, F.col("doc_id") + 65536).otherwise(F.col("doc_id") % 55000 + 33)
+    return table(spark, sf_dir, "documents").select("doc_id", markup.plane_zero(F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))).alias("sign"))
+
+
 @query("SELECT r_name, 'x' AS tag_a, '2' AS tag_b FROM region")
 def report_file(spark, sf_dir):
     """A table of a report as JSON lines, with its tags."""
@@ -186,7 +210,7 @@ def report_file(spark, sf_dir):
 # --- texts and bags ---------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {WORDS}, v AS (SELECT word, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM (SELECT word, sum(n) AS total FROM w GROUP BY word)), e AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = i), m AS (SELECT doc_id, count(*) AS s, sum(n * vec[1]) AS x, sum(n * vec[64]) AS y FROM w JOIN e USING (word) GROUP BY doc_id) SELECT doc_id, round(x / s, 4) AS x, round(y / s, 4) AS y FROM m")
+@query(f"WITH {WORDS}, v AS (SELECT word, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM (SELECT word, sum(n) AS total FROM w GROUP BY word)), e AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = i), m AS (SELECT doc_id, count(*) AS s, sum(n * vec[1]) AS x, sum(n * vec[64]) AS y FROM w JOIN e USING (word) GROUP BY doc_id) SELECT doc_id, round(x / s, 4) + 0.0 AS x, round(y / s, 4) + 0.0 AS y FROM m")
 def weighted_word_vector(spark, sf_dir):
     """Sums of the vectors of each document's tokens over its number of distinct known words."""
     counts = text.word_counts(table(spark, sf_dir, "documents"))
@@ -194,6 +218,12 @@ def weighted_word_vector(spark, sf_dir):
     return got.select("doc_id", r4(F.element_at("vec", 1), "x"), r4(F.element_at("vec", 64), "y"))
 
 
+@query(f"WITH {WORDS}, b AS (SELECT doc_id, string_agg(word || ' -> ' || n, ', ' ORDER BY word) AS s FROM w GROUP BY doc_id) SELECT doc_id, '[' || coalesce(s, '') || ']' AS words FROM documents LEFT JOIN b USING (doc_id)")
+def bag_texts(spark, sf_dir):
+    """The bag of words of each document as a line of text."""
+    return text.bags(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", text.bag_text(F.col("bag")).alias("words"))
+
+
 @query(f"WITH {WORDS}, o AS (SELECT word FROM w WHERE doc_id = (SELECT min(doc_id) FROM w)), t AS (SELECT doc_id, count(*) AS k, count(o.word) AS shared FROM w LEFT JOIN o USING (word) GROUP BY doc_id) SELECT doc_id, shared, k + (SELECT count(*) FROM o) - shared AS either FROM t")
 def bag_sets(spark, sf_dir):
     """Words that each document has in common with the first one, and words of either."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions.stemmer import STEP2, STEP3, STEP4
+
 POINTS = "p AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS VARCHAR) AS label FROM embeddings)"
 _COSINE = "least(1.0, greatest(-1.0, list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))))"
 DISTANCE = {
@@ -46,3 +48,44 @@ def matching(k: int, parts: int = 4, tau: int = 16, rows_per_part: int = 100_000
 
 
 WORDS = r"w AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+')) AS word FROM documents) WHERE length(word) >= 2 GROUP BY doc_id, word)"
+
+
+def porter(words: str) -> str:
+    """CTEs up to stems(word, stem) of ``words(word)`` by the published rules, with patterns for a stem's measure; a
+    consonant y is Y meanwhile, and only Y."""
+    c, v = "[^aeiouy][^aeiouy]*", "[aeiouy]+"
+    some, once, twice, vowel = f"^({c})?{v}{c}", f"^({c})?{v}{c}({v})?$", f"^({c})?{v}{c}{v}{c}", f"^({c})?[aeiouy]"
+    short = "[^aeiouy][aeiouy][^aeiouywxY]$"
+
+    def marked(w: str) -> str:
+        # twice, for in yyy the middle one is a vowel and matches may not overlap
+        return f"regexp_replace(regexp_replace(regexp_replace({w}, '^y', 'Y'), '([aeiou])y', '\\1Y', 'g'), '([^aeiouyY]y)y', '\\1Y', 'g')"
+
+    def has(w: str, pattern: str) -> str:
+        return f"regexp_matches({w}, '{pattern}')"
+
+    def cut(step: str, before: str, suffixes: list[str]) -> str:
+        ends = "|".join(suffixes)
+        return f"{step} AS (SELECT word, w, x, w[:length(w) - length(x)] AS base FROM (SELECT word, w, regexp_extract(w, '({ends})$', 1) AS x FROM {before}))"
+
+    def mapped(rules: dict[str, str]) -> str:
+        return "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in rules.items()) + " END"
+
+    steps = [
+        f"s0 AS (SELECT word, {marked('word')} AS w FROM (SELECT DISTINCT word FROM {words}) WHERE length(word) > 2)",
+        f"s1 AS (SELECT word, CASE WHEN {has('w', '(sses|ies)$')} THEN w[:length(w) - 2] WHEN {has('w', '[^s]s$')} THEN w[:length(w) - 1] ELSE w END AS w FROM s0)",
+        cut("c1", "s1", ["eed", "ed", "ing"]),
+        f"b1 AS (SELECT word, x <> '' AND x <> 'eed' AND {has('base', vowel)} AS gone, CASE WHEN x = 'eed' THEN CASE WHEN {has('base', some)} THEN w[:length(w) - 1] ELSE w END WHEN x <> '' AND {has('base', vowel)} THEN base ELSE w END AS w FROM c1)",
+        f"d1 AS (SELECT word, CASE WHEN NOT gone THEN w WHEN {has('w', '(at|bl|iz)$')} THEN w || 'e' WHEN w[-1] = w[-2] AND {has('w', '[^aeiouylsz]$')} THEN w[:length(w) - 1] WHEN {has('w', once)} AND {has('w', short)} THEN w || 'e' ELSE w END AS w FROM b1)",
+        f"e1 AS (SELECT word, CASE WHEN {has('w', '[yY]$')} AND {has('w[:length(w) - 1]', vowel)} THEN w[:length(w) - 1] || 'i' ELSE w END AS w FROM d1)",
+        cut("c2", "e1", list(STEP2)),
+        f"s2 AS (SELECT word, CASE WHEN x <> '' AND {has('base', some)} THEN base || {mapped(STEP2)} ELSE w END AS w FROM c2)",
+        cut("c3", "s2", list(STEP3)),
+        f"s3 AS (SELECT word, CASE WHEN x <> '' AND {has('base', some)} THEN base || {mapped(STEP3)} ELSE w END AS w FROM c3)",
+        cut("c4", "s3", STEP4),
+        f"s4 AS (SELECT word, CASE WHEN x <> '' AND {has('base', twice)} AND (x <> 'ion' OR {has('base', '[st]$')}) THEN base ELSE w END AS w FROM c4)",
+        cut("c5", "s4", ["e"]),
+        f"s5 AS (SELECT word, CASE WHEN x <> '' AND ({has('base', twice)} OR {has('base', once)} AND NOT {has('base', short)}) THEN base ELSE w END AS w FROM c5)",
+        f"stems AS (SELECT word, lower(CASE WHEN {has('w', 'll$')} AND {has('w', twice)} THEN w[:length(w) - 1] ELSE w END) AS stem FROM s5 UNION ALL SELECT DISTINCT word, word FROM {words} WHERE length(word) <= 2)",
+    ]
+    return ", ".join(steps)

@@ -15,7 +15,7 @@ from ..operators import coresets, partitioning, selection, statistics, text
 from ..operators.frames import ready
 from ..operators.matroids import Partition, Transversal, Uniform
 from . import flows
-from .oracles import DISTANCE, POINTS, WORDS, matching, parted, traversal
+from .oracles import DISTANCE, POINTS, WORDS, matching, parted, porter, traversal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -53,7 +53,7 @@ def small(rows: DataFrame) -> DataFrame:
 
 
 def r4(c, name: str):
-    return F.round(c, 4).alias(name)
+    return (F.round(c, 4) + F.lit(0.0)).alias(name)  # no negative zero
 
 
 # --- selections -------------------------------------------------------------------------------------------------
@@ -361,7 +361,7 @@ def ranked_vectors(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataF
     return words.join(known, F.col("i") == F.col("id")).select("word", "vec")
 
 
-@query(f"WITH {WORDS}, v AS (SELECT word, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM (SELECT word, sum(n) AS total FROM w GROUP BY word)), e AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = i), m AS (SELECT doc_id, sum(n) AS s, sum(n * vec[1]) AS x, sum(n * vec[2]) AS y FROM w JOIN e USING (word) GROUP BY doc_id) SELECT doc_id, round(x / s, 4) AS x, round(y / s, 4) AS y FROM m")
+@query(f"WITH {WORDS}, v AS (SELECT word, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM (SELECT word, sum(n) AS total FROM w GROUP BY word)), e AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = i), m AS (SELECT doc_id, sum(n) AS s, sum(n * vec[1]) AS x, sum(n * vec[2]) AS y FROM w JOIN e USING (word) GROUP BY doc_id) SELECT doc_id, round(x / s, 4) + 0.0 AS x, round(y / s, 4) + 0.0 AS y FROM m")
 def mean_word_vector(spark, sf_dir):
     """Mean vector of each document's known words; the most frequent words take the vectors of the embeddings by rank."""
     counts = text.word_counts(table(spark, sf_dir, "documents"))
@@ -375,7 +375,7 @@ def title_only_filter(spark, sf_dir):
     return text.without_title_only(text.without_disambiguation(docs), title="source").select("doc_id")
 
 
-@query()
+@query(f"WITH {WORDS}, v AS (SELECT word, sum(n) AS n FROM w GROUP BY word), {porter('v')} SELECT stem, CAST(sum(n) AS BIGINT) AS n FROM stems JOIN v USING (word) GROUP BY stem")
 def stem_tokens(spark, sf_dir):
     docs = ready(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.explode(stems(text.tokens(F.col("text")))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
@@ -388,7 +388,15 @@ def topic_threshold(spark, sf_dir):
     return text.topics(docs, "words")[0].select("doc_id", "topic")
 
 
-@query()
+_TAGLESS = "coalesce(html, '')"
+for _pattern, _to in [("<!--.*?-->", "' '"), ("|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "head")), "' '"), (r"<(br|/p|/div|/h[1-6]|/li|/tr)\b[^>]*>", "chr(10)"), ("<[^>]*>", "' '"), (r"[ \t\x0B\f\r]+", "' '"), (r" ?\n ?", "chr(10)"), (r"\n{2,}", "chr(10)"), (r"^\s+|\s+$", "''")]:
+    _TAGLESS = f"regexp_replace({_TAGLESS}, '{_pattern}', {_to}, 'gsi')"
+# the entities of the table; the ampersand last, so that none is made of two
+for _entity, _sign in (("copy", 169), ("middot", 183), ("quot", 34), ("lt", 60), ("gt", 62), ("amp", 38)):
+    _TAGLESS = f"replace({_TAGLESS}, '&{_entity};', chr({_sign}))"
+
+
+@query(f"SELECT page_id, {_TAGLESS} AS text FROM pages")
 def html_clean(spark, sf_dir):
     """Text of raw pages without tags, comments, scripts and entities."""
     pages = ready(table(spark, sf_dir, "pages"))

@@ -148,6 +148,13 @@ def write_topic_pages(pages: DataFrame, path: str, records: int = 100_000) -> No
     out.write.mode("errorifexists").option("maxRecordsPerFile", records).option("compression", "bzip2").json(path)
 
 
+def write_pages(pages: DataFrame, path: str, most_bytes: int = 1 << 20, by: str = "id") -> None:
+    """Pages as JSON lines in bz2 files of about ``most_bytes`` of text each, in page order within and across the files."""
+    size = pages.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    out = pages.repartitionByRange(max(1, -(-size // most_bytes)), by).sortWithinPartitions(by)
+    out.write.mode("errorifexists").option("compression", "bzip2").json(path)
+
+
 def read_any(spark: SparkSession, path: str) -> DataFrame:
     """JSON where the path says so, else Parquet."""
     return spark.read.json(path) if ".json" in path else spark.read.parquet(path)
