@@ -73,7 +73,7 @@ def propagate(linked: DataFrame, labels: DataFrame, shards: int, rounds: int, sc
     moving = scratch.table(labels.select("rid", "shard").join(ids, "rid", "left_semi"), "moving")
     base = _counts(fixed.join(linked.filter(F.col("n") > room).select("rid").distinct(), "rid", "left_semi"), shards)
     columns = [f"c{s}" for s in range(shards)]
-    best, cuts = moving, None
+    best, cuts, wishes = moving, None, []
     for turn in range(rounds + 1):
         cells = scratch.table(groups.join(moving, "rid"), "cells")
         votes = scratch.table(cells.groupBy("g").agg(F.first("n").alias("n"), *[F.sum((F.col("shard") == s).cast("long")).alias(c) for s, c in enumerate(columns)]), "votes")
@@ -97,9 +97,11 @@ def propagate(linked: DataFrame, labels: DataFrame, shards: int, rounds: int, sc
         large = F.col("n") * 4 > room
         lot = F.pmod(F.xxhash64("anchor", F.lit(turn)), F.lit(500_000)) + F.when(large, 500_000).otherwise(0)
         goes = (F.col("shard") != F.col("target")) & (lot < share)
-        moving = scratch.table(wish.select("rid", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard")), "moved")
-        for old in (cells, votes, wish):
+        moving = wish.select("rid", F.when(goes, F.col("target")).otherwise(F.col("shard")).alias("shard"))
+        wishes.append(wish)
+        for old in (cells, votes, *wishes[:-2]):  # the best labels may rest on the wishes of the round before
             scratch.drop(old)
+        del wishes[:-2]
     return fixed.unionByName(best)
 
 
