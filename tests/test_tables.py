@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from dispersa.functions import metrics
+from dispersa.functions.markup import plane_zero
 from dispersa.operators import coresets, frames, kernels, partitioning, selection, statistics, text
 from dispersa.operators.matroids import Partition, Transversal, Uniform
 from dispersa.plans import flows
+from dispersa.sources import files
 from pyspark.sql import functions as F
 
 
@@ -206,3 +208,15 @@ def test_filter_reaches_the_scan(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size > 40").select("p_partkey")
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(p_size), GreaterThan(p_size,40)]" in plan and "ReadSchema: struct<p_partkey:bigint,p_size:int>" in plan
+
+
+def test_character_references_and_bags_as_text(spark):
+    rows = spark.createDataFrame([("&#233;",), ("&#65535;",), ("&#65536;",), ("&#99999999999999999999;",), ("&amp;",), ("",), (None,)], "r string")
+    assert [r.c for r in rows.select(plane_zero(F.col("r")).alias("c")).collect()] == ["\u00e9", "\uffff", "", None, None, None, None]
+    bags = spark.createDataFrame([({"b": 2.0, "a": 1.0},), ({},), (None,)], "bag map<string,double>")
+    assert [r.t for r in bags.select(text.bag_text(F.col("bag")).alias("t")).collect()] == ["[a -> 1, b -> 2]", "[]", None]
+
+
+def test_pages_in_order_of_an_empty_table(spark, tmp_path):
+    files.write_pages(spark.createDataFrame([], "id long, text string"), f"{tmp_path}/none")
+    assert spark.read.schema("id long, text string").json(f"{tmp_path}/none").count() == 0
