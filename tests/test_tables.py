@@ -220,3 +220,16 @@ def test_character_references_and_bags_as_text(spark):
 def test_pages_in_order_of_an_empty_table(spark, tmp_path):
     files.write_pages(spark.createDataFrame([], "id long, text string"), f"{tmp_path}/none")
     assert spark.read.schema("id long, text string").json(f"{tmp_path}/none").count() == 0
+
+
+def test_topics_are_inferred_once_a_row(spark):
+    rows = spark.createDataFrame([(i, [["red", "blue"], ["cat", "dog"]][i % 2] * 5) for i in range(8)], "id long, w array<string>")
+    got, model, _ = text.topics(rows, "w", k=5, iterations=2, least_score=0.3, size=10)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    assert not any("lambdafunction" in line and "element_at(UDF" in line for line in plan.splitlines())
+    counted = CountVectorizer(inputCol="w", outputCol="c", vocabSize=10).fit(rows).transform(rows)
+    want = model.setFeaturesCol("c").setTopicDistributionCol("t").transform(counted).select("id", vector_to_array("t").alias("t")).collect()
+    assert {r.id: r.topic for r in got.collect()} == {r.id: [i for i, x in enumerate(r.t) if x >= 0.3] for r in want}
