@@ -195,3 +195,7 @@ def test_stemmer(spark):
     rows = ready(spark.createDataFrame([(["cats", "cats", "running"],), (None,), ([],)], "w array<string>"))
     assert [r[0] for r in rows.select(stemmer.stems(F.col("w"))).collect()] == [["cat", "cat", "run"], None, []]
     assert text.tokens(F.lit("x")) is not None
+
+
+def test_cut_entities_stay():
+    assert markup.unescape_text("R&amp D &copy &am &amp;lt; &ampx; &semi; &#38 &#38;") == "R&amp D &copy &am &lt; &ampx; ; &#38 &"
