@@ -223,7 +223,7 @@ def test_pages_in_order_of_an_empty_table(spark, tmp_path):
 
 
 def test_topics_are_inferred_once_a_row(spark):
-    rows = spark.createDataFrame([(i, [["red", "blue"], ["cat", "dog"]][i % 2] * 5) for i in range(8)], "id long, w array<string>")
+    rows = spark.createDataFrame([(i, [["red"] * 5 + ["blue"] * 4, ["cat"] * 3 + ["dog"] * 2][i % 2]) for i in range(8)], "id long, w array<string>")
     got, model, _ = text.topics(rows, "w", k=5, iterations=2, least_score=0.3, size=10)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     from pyspark.ml.feature import CountVectorizer
