@@ -15,9 +15,12 @@ from ..functions.metrics import METRICS, literal, matrix
 from . import kernels
 from .frames import materialize, ready
 from .matroids import Matroid
+from .pairs import Blocks, counts, extent, farthest_pairs
 
 #: Rows whose distance matrix one task may hold (128 MB).
 MATRIX_ROWS = 4096
+#: Rows of a block of which all pairs with another block are one task's work (16 MB of 64 numbers each).
+BLOCK_ROWS = 32_768
 #: Draws of a random independent set that come to the driver together.
 DRAWS = 256
 #: Passes between checkpoints of the running distances.
@@ -127,53 +130,71 @@ def pair_distances(points: DataFrame, metric: str = "euclidean", most: int | Non
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", METRICS[metric](F.col("va"), F.col("vb")).alias("distance"))
 
 
-def _over_pairs(points: DataFrame, metric: str, most: int, block: int, keep: int | None) -> DataFrame:
-    """``(a, b, distance)`` by numpy blocks: rows are dealt to blocks, and each pair of blocks is one group, of whose pairs
-    all go on or only the ``keep`` farthest, ties to the least ids."""
-    n = points.limit(most + 1).count()
-    if n > most:
+def _over_pairs(points: DataFrame, metric: str, most: int | None, block: int | None, work, schema: str) -> DataFrame:
+    """``work(blocks, ids of the one side, of the other)`` for each pair of blocks of rows, every one a group of its own.
+
+    Rows are dealt to blocks by hash: a dozen of them, or more for blocks of at most ``BLOCK_ROWS``, which bounds a task.
+    """
+    n = points.count()
+    if most is not None and n > most:
         raise ValueError(f"pairs of more than {most} rows; take a coreset first")
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-n // (block or min(BLOCK_ROWS, max(256, -(-n // 12))))))
     side = ready(points).select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("x"))
     pairs = side.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("id", "vec", "x", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
 
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame if keep is None else frame.sort_values(["distance", "a", "b"], ascending=[False, True, True]).head(keep)
-
     def run(key, f):
-        from ..functions.metrics import distances
-
         lo, hi = key
+        f = f.sort_values("id", kind="stable")
         p, q = f[f.x == lo], f[f.x == hi]
-        vec = np.array(q["vec"].tolist(), float).reshape(len(q), -1)
-        ids, out, held = q["id"].to_numpy(), [], 0
-        for i, v in zip(p["id"], p["vec"], strict=True):
-            keep_ = ids > i if lo == hi else np.ones(len(ids), bool)
-            if keep_.any():
-                d = distances(metric, vec[keep_], np.asarray(v, float))
-                if keep is not None and len(d) > keep:
-                    top = d >= np.partition(d, len(d) - keep)[len(d) - keep]
-                    own, d = ids[keep_][top], d[top]
-                else:
-                    own = ids[keep_]
-                out.append(pd.DataFrame({"a": np.minimum(i, own), "b": np.maximum(i, own), "distance": d}))
-                held += len(d)
-                if keep is not None and held > 64 * keep:
-                    out = [best(pd.concat(out))]
-                    held = len(out[0])
-        return best(pd.concat(out)) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "distance": np.empty(0)})
-
-    return pairs.groupBy("lo", "hi").applyInPandas(run, "a long, b long, distance double")
+        ids = p["id"].to_numpy()
+        if lo == hi:
+            return work(Blocks(metric, _vectors(p), ids=ids), ids, ids)
+        if not len(p) or not len(q):
+            return work(Blocks(metric, np.empty((0, 1))), ids[:0], ids[:0])
+        return work(Blocks(metric, _vectors(p), _vectors(q)), ids, q["id"].to_numpy())
+
+    # a number of partitions that is asked for is not made smaller by the size of the rows, which says nothing of the work
+    return pairs.repartition(min(4096, blocks * (blocks + 1) // 2), "lo", "hi").groupBy("lo", "hi").applyInPandas(run, schema)
+
+
+def _pair_frame(a, b, d) -> pd.DataFrame:
+    return pd.DataFrame({"a": a, "b": b, "distance": d})
 
 
 def pair_blocks(points: DataFrame, metric: str = "euclidean", most: int = 200_000, block: int = 2048) -> DataFrame:
     """Like ``pair_distances``, by numpy blocks."""
-    return _over_pairs(points, metric, most, block, None)
 
+    def work(blocks: Blocks, a, b):
+        out = [_pair_frame(np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), d) for i, j, d in blocks.rows()]
+        return pd.concat(out) if out else _pair_frame(a[:0], b[:0], np.empty(0))
+
+    return _over_pairs(points, metric, most, block, work, "a long, b long, distance double")
+
+
+def top_pairs(points: DataFrame, k: int, metric: str = "euclidean", most: int | None = None, block: int | None = None) -> DataFrame:
+    """``(a, b, distance)`` of the k farthest pairs, ties to the least ids, of a table of any size; only k pairs leave
+    each pair of blocks. All pairs are looked at, so time grows with the square of the table."""
+    found = _over_pairs(points, metric, most, block, lambda blocks, a, b: _pair_frame(*farthest_pairs(blocks, k, a, b)), "a long, b long, distance double")
+    return found.orderBy(F.desc("distance"), "a", "b").limit(k)
+
+
+def pair_histogram(points: DataFrame, buckets: int = 100, metric: str = "euclidean", most: int | None = None, block: int | None = None) -> DataFrame:
+    """``statistics.histogram`` of the distances of all pairs a < b, counted block by block: no pair leaves a task."""
+
+    def ends(blocks: Blocks, a, b):
+        found = extent(blocks)
+        return pd.DataFrame([found] if found else [], columns=["lo", "hi"], dtype=float)
+
+    e = _over_pairs(points, metric, most, block, ends, "lo double, hi double").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).head()
+    if e.lo is None:
+        return points.sparkSession.createDataFrame([], "bucket int, left double, n long")
+
+    def count(blocks: Blocks, a, b):
+        n = counts(blocks, e.lo, e.hi, buckets)
+        return pd.DataFrame({"bucket": np.flatnonzero(n).astype(np.int32), "n": n[n > 0]})
 
-def top_pairs(points: DataFrame, k: int, metric: str = "euclidean", most: int = 200_000, block: int = 2048) -> DataFrame:
-    """``(a, b, distance)`` of the k farthest pairs, ties to the least ids; only k pairs leave each pair of blocks."""
-    return _over_pairs(points, metric, most, block, k).orderBy(F.desc("distance"), "a", "b").limit(k)
+    found = _over_pairs(points, metric, most, block, count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return found.select("bucket", (F.lit(e.lo) + F.lit((e.hi - e.lo) / buckets) * F.col("bucket")).alias("left"), "n")
 
 
 def objectives(points: DataFrame, metric: str = "euclidean") -> DataFrame:

@@ -292,8 +292,7 @@ def farthest_pairs(spark, sf_dir):
 @query(f"WITH {POINTS}, {_PAIRS}, e AS (SELECT min(d) AS lo, max(d) AS hi FROM d) SELECT CAST(least(19, floor((d - lo) / (hi - lo) * 20)) AS INT) AS bucket, 2 * count(*) AS n FROM d, e GROUP BY 1")
 def pair_histogram(spark, sf_dir):
     """Distances of all pairs in both orders."""
-    pairs = selection.pair_blocks(points(spark, sf_dir))
-    return statistics.histogram(pairs, "distance", 20).select("bucket", (2 * F.col("n")).alias("n"))
+    return selection.pair_histogram(points(spark, sf_dir), 20).select("bucket", (2 * F.col("n")).alias("n"))
 
 
 @query(f"WITH {POINTS}, o AS (SELECT vec FROM p ORDER BY id LIMIT 1) SELECT CAST(id AS BIGINT) AS id, round(0.5 * acos(least(1.0, greatest(-1.0, list_dot_product(p.vec, o.vec) / (sqrt(list_dot_product(p.vec, p.vec)) * sqrt(list_dot_product(o.vec, o.vec)))))), 4) AS distance FROM p, o")

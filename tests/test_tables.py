@@ -233,3 +233,20 @@ def test_topics_are_inferred_once_a_row(spark):
     counted = CountVectorizer(inputCol="w", outputCol="c", vocabSize=10).fit(rows).transform(rows)
     want = model.setFeaturesCol("c").setTopicDistributionCol("t").transform(counted).select("id", vector_to_array("t").alias("t")).collect()
     assert {r.id: r.topic for r in got.collect()} == {r.id: [i for i, x in enumerate(r.t) if x >= 0.3] for r in want}
+
+
+def test_all_pairs_in_bounded_memory(spark, points):
+    """Results of a plain form, rows of equal ids and of equal vectors included, and no bound on the number of rows."""
+    rng = np.random.default_rng(3)
+    rows = [(i // 2 if i < 20 else i, [float(v) for v in np.round(x, 1)]) for i, x in enumerate(rng.normal(size=(900, 2)))]
+    table = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3)
+    plain = selection.pair_distances(table)
+    for k in (1, 40):
+        want = plain.orderBy(F.desc("distance"), "a", "b").limit(k).collect()
+        assert [(r.a, r.b) for r in selection.top_pairs(table, k, block=200).collect()] == [(r.a, r.b) for r in want]
+    want = {r.bucket: r.n for r in statistics.histogram(plain, "distance", 20).collect()}
+    got = selection.pair_histogram(table, 20, block=200).collect()
+    assert {r.bucket: r.n for r in got} == want and min(r.left for r in got) == 0
+    assert selection.pair_histogram(table.limit(1), 20).count() == 0
+    many = spark.range(200_001).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+    assert selection.top_pairs(many, 1, block=100_001).columns == ["a", "b", "distance"]  # refused before
