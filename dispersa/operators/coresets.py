@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import kernels
+from . import kernels, pairs
 from .frames import ready
 from .matroids import Matroid, Partition, Uniform
 
@@ -31,8 +31,9 @@ def _build(f: pd.DataFrame, pick: Callable, metric: str, tau: int | None, to_rad
     x = np.array(f["vec"].tolist(), float).reshape(len(f), -1)
     if to_radius is not None:
         chosen = kernels.farthest_to_radius(x, to_radius, metric)
-        d = np.array([kernels.distances(metric, x, x[c]) for c in chosen])
-        nearest, near = d.argmin(axis=0), d.min(axis=0)
+        nearest, near = np.zeros(len(x), np.int64), np.zeros(len(x))
+        others = np.setdiff1d(np.arange(len(x)), chosen)
+        nearest[others], near[others] = pairs.nearest(pairs.Blocks(metric, x[others], x[chosen]))
     elif len(f) < tau:
         chosen, nearest, near = list(range(len(f))), np.arange(len(f)), np.zeros(len(f))
     else:
@@ -41,8 +42,8 @@ def _build(f: pd.DataFrame, pick: Callable, metric: str, tau: int | None, to_rad
     nearest[chosen] = np.arange(len(chosen))
     labels = _labels(f, label)
     rows = []
-    for c, centre in enumerate(chosen):
-        members = np.flatnonzero(nearest == c)
+    by_centre = np.argsort(nearest, kind="stable")
+    for centre, members in zip(chosen, np.split(by_centre, np.searchsorted(nearest[by_centre], np.arange(1, len(chosen)))), strict=True):
         rows += [("kernel", centre, centre)] + [("delegate", centre, m) for m in pick(members, centre, near, labels) if m != centre]
     at = [r[2] for r in rows]
     ids = f["id"].to_numpy()
@@ -88,7 +89,7 @@ def local_search_coreset(points: DataFrame, k: int, metric: str = "euclidean", g
 
     def work(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("id", kind="stable").reset_index(drop=True)
-        return f.iloc[kernels.swap_search(kernels.matrix(metric, np.array(f["vec"].tolist(), float)), k, gain)]
+        return f.iloc[kernels.clique_search(np.array(f["vec"].tolist(), float), k, metric, gain)]
 
     part = points.select((parts(points, rows_per_part) if pid is None else pid).cast("long").alias("pid"), "id", "vec")
     return ready(part).groupBy("pid").applyInPandas(work, "pid long, id long, vec array<double>")

@@ -12,6 +12,7 @@ from typing import Any
 import numpy as np
 
 from ..functions.metrics import distances, matrix  # noqa: F401
+from . import pairs
 from .matroids import Matroid
 
 
@@ -37,14 +38,33 @@ def farthest(points: np.ndarray, k: int, metric: str = "euclidean", start: int =
     return chosen, radii, nearest, near
 
 
-def farthest_to_radius(points: np.ndarray, radius: float, metric: str = "euclidean", start: int = 0) -> list[int]:
-    """As few steps of the traversal as leave every row within ``radius`` of a chosen one; in input order."""
+def farthest_to_radius(points: np.ndarray, radius: float, metric: str = "euclidean", start: int = 0, pool: int = 1024) -> list[int]:
+    """As few steps of the traversal as leave every row within ``radius`` of a chosen one; in input order.
+
+    Rows within the radius leave the search. The ``pool`` farthest rows are kept up to date at every step; the others,
+    whose distances only fall, after the steps that leave none in the pool farther than they were.
+    """
     if not len(points):
         return []
     chosen, near = [start], distances(metric, points, points[start])
-    while near.max() > radius:
-        chosen.append(int(np.argmax(near)))
-        near = np.minimum(near, distances(metric, points, points[chosen[-1]]))
+    at = np.flatnonzero(near > radius)
+    near, x = near[at], points[at]
+    while len(at):
+        ranked = np.lexsort((np.arange(len(at)), -near))
+        inside = np.sort(ranked[:pool])
+        first, nearby, some = len(chosen), near[inside], x[inside]
+        # what the next row must surpass; the first one of a pool does
+        most, place = (near[ranked[pool]], ranked[pool]) if len(at) > pool else (-np.inf, 0)
+        while True:
+            i = int(np.argmax(nearby))
+            if not nearby[i] > radius or nearby[i] < most or (nearby[i] == most and inside[i] > place):
+                break
+            chosen.append(int(at[inside[i]]))
+            nearby = np.minimum(nearby, distances(metric, some, some[i]))
+        _, d = pairs.nearest(pairs.Blocks(metric, x, points[chosen[first:]]))
+        near = np.minimum(near, d)
+        left = near > radius
+        at, near, x = at[left], near[left], x[left]
     return sorted(chosen)
 
 
@@ -148,6 +168,40 @@ def swap_search(d: np.ndarray, k: int, gain: float = 0.0, objective: str | Calla
     return np.flatnonzero(inside).tolist()
 
 
+def clique_search(points: np.ndarray, k: int, metric: str = "euclidean", gain: float = 0.0) -> list[int]:
+    """``swap_search`` for the clique objective without a constraint and without a matrix: only the distances to chosen
+    rows are held, so memory grows with the rows and not with their square."""
+    n = len(points)
+    if n <= k or k < 2:
+        return list(range(min(k, n)))
+    i, j, _ = pairs.farthest_pairs(pairs.Blocks(metric, points), 1, np.arange(n), np.arange(n))
+    pair = [int(i[0]), int(j[0])] if len(i) else [0, 1]
+    chosen = sorted(pair + [x for x in range(k + 1) if x not in pair][: k - 2])
+    to = {c: distances(metric, points, points[c]) for c in chosen}
+    inside = np.zeros(n, bool)
+    inside[chosen] = True
+    toward = np.stack([to[c] for c in chosen], axis=1).sum(axis=1)
+    value = clique(np.array([[to[c][r] for c in chosen] for r in chosen]))
+
+    def swap() -> bool:
+        nonlocal value, toward
+        for i in np.flatnonzero(inside).tolist():
+            after = value - toward[i] + toward - to[i]
+            better = ~inside & (after > (1 + gain) * value * (1 + 1e-12))
+            if better.any():
+                j = int(np.argmax(better))
+                inside[i], inside[j] = False, True
+                to[j] = distances(metric, points, points[j])
+                toward = toward - to.pop(i) + to[j]
+                value = float(after[j])
+                return True
+        return False
+
+    while swap():
+        pass
+    return np.flatnonzero(inside).tolist()
+
+
 def best_start(points: np.ndarray, k: int, runs: int, metric: str, objective: str) -> tuple[list[int], float]:
     """The best of ``runs`` farthest-point traversals from the first rows."""
     found = []

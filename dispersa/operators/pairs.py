@@ -156,3 +156,24 @@ def counts(blocks: Blocks, lo: float, hi: float, buckets: int) -> np.ndarray:
                 add(d)
         out += found
     return out
+
+
+def nearest(blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``p`` the place of its nearest row of ``q``, the first of equals, and the distance."""
+    at, near = np.zeros(len(blocks.p), np.int64), np.full(len(blocks.p), np.inf)
+    if not blocks.fast:
+        for i, _, d in blocks.rows():
+            at[i[0]], near[i[0]] = d.argmin(), d.min()
+        return at, near
+    for r, c, s in blocks.tiles():
+        best = near[r : r + len(s)]
+        best = best**2 if blocks.metric == "euclidean" else best
+        maybe = np.flatnonzero(s <= (np.minimum(best * (1 + 1e-14), s.min(axis=1)) + 2 * blocks.margin)[:, None])
+        for i, j, d in blocks.measured(r + maybe // s.shape[1], c + maybe % s.shape[1]):
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            i, j, d = i[first], j[first], d[first]
+            nearer = d < near[i]
+            at[i[nearer]], near[i[nearer]] = j[nearer], d[nearer]
+    return at, near

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 from dispersa.functions.metrics import distances, matrix
-from dispersa.operators import kernels
+from dispersa.operators import kernels, pairs
 from dispersa.operators.matroids import Partition, Transversal, Uniform
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,3 +139,35 @@ def test_metric_properties(metric):
     if metric.startswith("cosine"):
         assert d.max() <= 1 and distances(metric, np.eye(2), np.eye(2)[0])[1] == pytest.approx(0.5 if metric == "cosine_full" else 1)
         assert np.isnan(distances(metric, np.zeros((1, 2)), np.eye(2)[0]))[0]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "sq_euclidean", "cosine_full"])
+def test_searches_without_matrices(metric):
+    """The same rows as plain forms that hold all distances, with equal rows and draws among them."""
+    rng = np.random.default_rng(7)
+    for n, dim in ((1, 2), (9, 2), (150, 2), (220, 4)):
+        x = np.round(rng.normal(size=(n, dim)), 1) + (0.05 if metric == "cosine_full" else 0)
+        x[n // 2 : n // 2 + n // 5] = x[: n // 5]
+        d = matrix(metric, x)
+        radius = {"euclidean": 0.6, "sq_euclidean": 0.3, "cosine_full": 0.05}[metric]
+        near, chosen = d[0].copy(), [0]
+        while near.max() > radius:
+            chosen.append(int(np.argmax(near)))
+            near = np.minimum(near, d[chosen[-1]])
+        for pool in (3, 1024):
+            assert kernels.farthest_to_radius(x, radius, metric, pool=pool) == sorted(chosen)
+        at, far = pairs.nearest(pairs.Blocks(metric, x, x[sorted(chosen)]))
+        assert np.allclose(far, d[:, sorted(chosen)].min(axis=1)) and (metric == "cosine_full" or (at == d[:, sorted(chosen)].argmin(axis=1)).all())
+        for k in (2, 5):
+            assert kernels.clique_search(x, k, metric) == kernels.swap_search(d, k)
+
+
+def test_large_parts_need_no_matrix():
+    """A matrix of this part would take 7.2 GB; the limit is on new memory of this process."""
+    import tracemalloc
+
+    x = np.random.default_rng(2).normal(size=(30_000, 3))
+    tracemalloc.start()
+    assert len(kernels.clique_search(x, 4)) == 4 and len(kernels.farthest_to_radius(x, 0.5)) > 100
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
