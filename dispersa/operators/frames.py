@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,7 +44,7 @@ def ready(df: DataFrame) -> DataFrame:
     return df
 
 
-def positions(df: DataFrame, *order: str) -> DataFrame:
+def positions(df: DataFrame, *order: str | Column) -> DataFrame:
     """``df`` with ``pos``, the place of each row in a total order, from 0.
 
     Rows are range-partitioned and numbered within partitions; only the count of each partition is summed, so no task

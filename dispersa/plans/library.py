@@ -59,11 +59,8 @@ _TOP = "v AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY sum(n) DESC,
 
 def _numbered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Counts of words, and the words in the order of their counts with numbers from 1."""
-    from pyspark.sql.window import Window
-
     counts = text.word_counts(table(spark, sf_dir, "documents"))
-    totals = text.document_frequency(counts)
-    return counts, totals.select("word", F.row_number().over(Window.orderBy(F.desc("total"), "word")).cast("long").alias("word_id"))
+    return counts, text.ranked(counts).select("word", (F.col("rank") + 1).alias("word_id"))
 
 
 @query(f"WITH {WORDS}, {_TOP} SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS words, CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n * word_id) AS DOUBLE) AS mark FROM w JOIN v USING (word) GROUP BY doc_id")

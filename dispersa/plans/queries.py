@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import metrics
 from ..functions.markup import clean_html, unescape
 from ..functions.stemmer import stems
 from ..operators import coresets, partitioning, selection, statistics, text
-from ..operators.frames import ready
+from ..operators.frames import positions, ready
 from ..operators.matroids import Partition, Transversal, Uniform
 from . import flows
 from .oracles import DISTANCE, POINTS, WORDS, matching, parted, porter, traversal
@@ -336,7 +335,7 @@ def idf_table(spark, sf_dir):
 def tfidf_weights(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     counts = text.word_counts(docs)
-    weights = text.idf(counts, docs.count(), smoothed=True).orderBy(F.desc("total"), "word").limit(1 << 18)
+    weights = positions(text.idf(counts, docs.count(), smoothed=True), F.desc("total"), "word").filter(F.col("pos") < 1 << 18)
     return text.tf_idf(counts, weights).select("doc_id", "word", r4(F.col("weight"), "weight"))
 
 
@@ -355,10 +354,9 @@ def category_index(spark, sf_dir):
 
 
 def ranked_vectors(spark: SparkSession, sf_dir: str, counts: DataFrame) -> DataFrame:
-    """``(word, vec)``: every vector of the embeddings, given to the word of its rank by count."""
+    """``(word, vec, rank)``: every vector of the embeddings, given to the word of its rank by count."""
     known = points(spark, sf_dir)
-    words = text.vocabulary(counts, known.count()).withColumn("i", F.row_number().over(Window.orderBy(F.desc("total"), "word")) - 1)
-    return words.join(known, F.col("i") == F.col("id")).select("word", "vec")
+    return text.ranked(counts).join(known, F.col("rank") == F.col("id")).select("word", "vec", "rank")
 
 
 @query(f"WITH {WORDS}, v AS (SELECT word, row_number() OVER (ORDER BY total DESC, word) - 1 AS i FROM (SELECT word, sum(n) AS total FROM w GROUP BY word)), e AS (SELECT word, CAST(embedding AS DOUBLE[]) AS vec FROM v JOIN embeddings ON vec_id = i), m AS (SELECT doc_id, sum(n) AS s, sum(n * vec[1]) AS x, sum(n * vec[2]) AS y FROM w JOIN e USING (word) GROUP BY doc_id) SELECT doc_id, round(x / s, 4) + 0.0 AS x, round(y / s, 4) + 0.0 AS y FROM m")

@@ -250,3 +250,30 @@ def test_all_pairs_in_bounded_memory(spark, points):
     assert selection.pair_histogram(table.limit(1), 20).count() == 0
     many = spark.range(200_001).select("id", F.array(F.col("id").cast("double")).alias("vec"))
     assert selection.top_pairs(many, 1, block=100_001).columns == ["a", "b", "distance"]  # refused before
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    docs = spark.createDataFrame([(i, "b a b cé a b" if i % 2 else ["", None, "x"][i // 2 % 3]) for i in range(12)], "doc_id long, text string").repartition(3)
+    for frame in (text.word_counts(docs), text.bags(docs)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(x in plan for x in ("Aggregate", "Join"))  # words were shuffled, and texts too for bags
+    docs = docs.withColumn("text", F.replace(F.replace("text", F.lit("a"), F.lit("aa")), F.lit("b"), F.lit("bb")))
+    assert {(r.doc_id, r.word): r.n for r in text.word_counts(docs).collect()} == {(i, w): n for i in range(1, 12, 2) for w, n in (("aa", 2), ("bb", 3), ("cé", 1))}
+    twice = docs.unionByName(docs.filter("doc_id < 2"))  # a document in two rows is still one
+    assert {(r.doc_id, r.word): r.n for r in text.word_counts(twice).filter("doc_id < 4").collect()} == {(i, w): n * (2 if i == 1 else 1) for i in (1, 3) for w, n in (("aa", 2), ("bb", 3), ("cé", 1))}
+    assert [len(r.bag) for r in text.bags(twice).filter("doc_id < 2").orderBy("doc_id").collect()] == [0, 0, 3, 3]
+
+
+def test_vectors_beyond_those_held(spark):
+    """Means are the same whether tasks hold all vectors, some or none; before, each count was moved with its vector."""
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh"[j] * 2 for j in range(8) for _ in range((i * j) % 3))) for i in range(20)], "doc_id long, text string").repartition(4)
+    counts = text.word_counts(docs)
+    vecs = spark.createDataFrame([(c * 2, [float(i), i * i / 7]) for i, c in enumerate("abcdefg")], "word string, vec array<double>")
+    number = {c * 2: i for i, c in enumerate("abcdefg")}
+    known = [(r.doc_id, r.word, r.n) for r in counts.collect() if r.word in number]
+    for weighted in (False, True):
+        want = {i: sum(n * number[w] for j, w, n in known if j == i) / sum(1 if weighted else n for j, w, n in known if j == i) for i in {j for j, _, _ in known}}
+        for held in (100, 3, 0):
+            got = {r.doc_id: r.vec for r in text.mean_vectors(counts, vecs, weighted, held).collect()}
+            assert got.keys() == want.keys() and all(got[i][0] == pytest.approx(want[i]) for i in want)
+    assert [(r.rank, r.word) for r in text.ranked(counts).orderBy("rank").collect()] == [(i, r.word) for i, r in enumerate(text.vocabulary(counts, 99).collect())]
