@@ -7,6 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Files that one task of ``write_pages`` writes about; their names are in order up to 999 of them.
+FILES_A_TASK = 256
+
 
 def points_path(folder: str, source: str, dim: int, n: int, k: int) -> str:
     return f"{folder.rstrip('/')}/{source}-{dim}-{n}-{k}.points"
@@ -96,13 +99,15 @@ def read_wiki_tsv(spark: SparkSession, path: str) -> DataFrame:
 
     Three fields with a number last have no text and are dropped, and so are texts without words of two letters or more.
     """
+    from ..operators.text import cells, computed_once
+
     parts = F.split("value", "\t")
     text = F.when(F.size(parts) == 4, F.element_at(parts, 4)).when((F.size(parts) == 3) & ~F.element_at(parts, 3).rlike(r"^\d+(\.\d+)?$"), F.element_at(parts, 3))
     names = lambda c: F.filter(F.transform(F.split(F.regexp_replace(c, r"[\[\]()]", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
-    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.element_at(parts, 1).alias("title"), names(F.element_at(parts, 2)).alias("categories"), text.alias("text")).filter("text IS NOT NULL")
+    rows = spark.read.text(path).select(F.element_at(parts, 1).alias("title"), names(F.element_at(parts, 2)).alias("categories"), text.alias("text")).filter("text IS NOT NULL")
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
-    counts = rows.select("line", "title", "categories", F.explode(words).alias("word")).groupBy("line", "title", "categories", "word").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return counts.groupBy("line", "title", "categories").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("bag")).drop("line")
+    bag = F.map_from_entries(F.transform(cells(words), lambda c: F.struct(c["word"], c["n"].cast("double"))))
+    return computed_once(rows, bag, "bag").filter(F.size("bag") > 0).select("title", "categories", "bag")
 
 
 def read_genres(spark: SparkSession, path: str) -> DataFrame:
@@ -150,9 +155,11 @@ def write_topic_pages(pages: DataFrame, path: str, records: int = 100_000) -> No
 
 def write_pages(pages: DataFrame, path: str, most_bytes: int = 1 << 20, by: str = "id") -> None:
     """Pages as JSON lines in bz2 files of about ``most_bytes`` of text each, in page order within and across the files."""
-    size = pages.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    out = pages.repartitionByRange(max(1, -(-size // most_bytes)), by).sortWithinPartitions(by)
-    out.write.mode("errorifexists").option("compression", "bzip2").json(path)
+    size, n = pages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).head()
+    count = max(1, -(-size // most_bytes))
+    tasks = max(-(-count // FILES_A_TASK), min(count, pages.sparkSession.sparkContext.defaultParallelism))
+    out = pages.repartitionByRange(tasks, by).sortWithinPartitions(by)
+    out.write.mode("errorifexists").option("maxRecordsPerFile", max(1, n * most_bytes // max(1, size))).option("compression", "bzip2").json(path)
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
