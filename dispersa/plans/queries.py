@@ -336,7 +336,7 @@ def tfidf_weights(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     counts = text.word_counts(docs)
     weights = positions(text.idf(counts, docs.count(), smoothed=True), F.desc("total"), "word").filter(F.col("pos") < 1 << 18)
-    return text.tf_idf(counts, weights).select("doc_id", "word", r4(F.col("weight"), "weight"))
+    return text.tf_idf(counts, F.broadcast(weights)).select("doc_id", "word", r4(F.col("weight"), "weight"))
 
 
 @query(f"WITH {WORDS} SELECT word, count(*) AS df, CAST(sum(n) AS BIGINT) AS total FROM w GROUP BY word ORDER BY total DESC, word LIMIT 100")
@@ -376,7 +376,9 @@ def title_only_filter(spark, sf_dir):
 @query(f"WITH {WORDS}, v AS (SELECT word, sum(n) AS n FROM w GROUP BY word), {porter('v')} SELECT stem, CAST(sum(n) AS BIGINT) AS n FROM stems JOIN v USING (word) GROUP BY stem")
 def stem_tokens(spark, sf_dir):
     docs = ready(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.explode(stems(text.tokens(F.col("text")))).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(text.tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # each word of the table is stemmed once, so a Python worker sees words and no texts
+    return words.select(stems(F.array("word")).alias("s"), "n").select(F.get("s", F.lit(0)).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 @query()
