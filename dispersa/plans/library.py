@@ -16,6 +16,9 @@ from ..sources import files, generators
 from .oracles import POINTS, WORDS, matching
 from .queries import CAPS, K, points, query, r4, ranked_vectors, small, table
 
+#: Pages of one file of a dump.
+DUMP_PAGES = 50_000
+
 
 def _lines(spark: SparkSession, rows: DataFrame, value) -> str:
     """A new text file of one line a row."""
@@ -118,13 +121,11 @@ def caps_file(spark, sf_dir):
 @query(f"WITH {WORDS}, {_TOP}, b AS (SELECT doc_id, count(*) AS words, sum(n) AS total FROM w JOIN v USING (word) WHERE word_id <= 5000 GROUP BY doc_id) SELECT CAST(b.doc_id AS VARCHAR) AS track_id, coalesce(d.lang, 'Unknown') AS genre, words, CAST(total AS DOUBLE) AS total FROM b JOIN documents d ON b.doc_id = d.doc_id")
 def song_vectors(spark, sf_dir):
     """Sparse vectors of 5,000 words with a genre."""
-    from pyspark.ml.functions import vector_to_array
-
     counts, words = _numbered(spark, sf_dir)
-    bags = counts.join(words.filter("word_id <= 5000"), "word").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word_id").cast("string"), F.col("n").cast("double")))).alias("bag"))
+    bags = counts.join(F.broadcast(words.filter("word_id <= 5000")), "word").groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word_id").cast("string"), F.col("n").cast("double")))).alias("bag"))
     genres = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(F.col("doc_id").cast("string").alias("track_id"), F.col("lang").alias("genre"))
-    got = files.songs(bags, genres).withColumn("x", vector_to_array("vec"))
-    return got.select("track_id", "genre", F.size(F.filter("x", lambda v: v != 0)).cast("long").alias("words"), F.aggregate("x", F.lit(0.0), lambda s, v: s + v).alias("total"))
+    got = files.songs(bags, genres).select("track_id", "genre", F.unwrap_udt("vec").alias("vec"))
+    return got.select("track_id", "genre", F.size(F.filter("vec.values", lambda v: v != 0)).cast("long").alias("words"), F.aggregate("vec.values", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 
 @query("SELECT 'word' || CAST(vec_id AS VARCHAR) AS word, len(embedding) AS dim, round(CAST(embedding[64] AS DOUBLE), 4) + 0.0 AS x FROM embeddings")
@@ -153,9 +154,15 @@ def _dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     redirect = F.when(F.col("p_partkey") % 5 == 0, F.lit('<redirect title="Elsewhere" />')).otherwise(F.lit(""))
     ns = F.when(F.col("p_partkey") % 7 == 0, F.lit("10")).otherwise(F.lit("0"))
     page = F.concat(F.lit("<page><title>Part "), k, F.lit("</title><ns>"), ns, F.lit("</ns><id>"), k, F.lit("</id>"), redirect, F.lit("<revision><id>1</id><text>"), body, F.lit("</text></revision></page>"))
-    pages = table(spark, sf_dir, "part").select(F.lit(1).alias("k"), page.alias("line"))
-    ends = spark.createDataFrame([(0, "<mediawiki>"), (2, "</mediawiki>")], "k int, line string")
-    return files.read_dump(spark, _lines(spark, pages.unionByName(ends).coalesce(1).sortWithinPartitions("k"), F.col("line")))
+    part = table(spark, sf_dir, "part")
+    # a dump of several files, each of them whole
+    n = max(1, -(-part.count() // DUMP_PAGES))
+    pages = part.select(F.pmod(F.xxhash64("p_partkey"), F.lit(n)).alias("file"), F.lit(1).alias("k"), page.alias("line"))
+    ends = spark.range(n).select(F.col("id").alias("file"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("<mediawiki>").alias("line")), F.struct(F.lit(2).alias("k"), F.lit("</mediawiki>").alias("line")))).alias("end")).select("file", "end.k", "end.line")
+    path = shared_folder(spark, "dump")
+    # a folder for each file: a reader may stop at the end of the first of two dumps in one file
+    pages.unionByName(ends).repartitionByRange(n, "file").sortWithinPartitions("file", "k").select("file", "line").write.partitionBy("file").text(path)
+    return files.read_dump(spark, path)
 
 
 @query("SELECT CAST(p_partkey AS BIGINT) AS id, CAST(CASE WHEN p_partkey % 7 = 0 THEN 10 ELSE 0 END AS INT) AS ns, 'Part ' || CAST(p_partkey AS VARCHAR) AS title, CASE WHEN p_partkey % 5 = 0 THEN 'Elsewhere' END AS redirect, '''''''' || p_name || ''''''' is [[Kind|of kind]] ' || p_brand || '<ref>none</ref>, {{size|' || CAST(p_size AS VARCHAR) || '}}.' || chr(10) || '[[Category:' || p_brand || ']]' AS text FROM part")
@@ -234,8 +241,8 @@ def count_vectors(spark, sf_dir):
     """Sparse vectors of counts, by the place of a word in the vocabulary."""
     counts, words = _numbered(spark, sf_dir)
     got = text.vectors(counts.withColumnRenamed("n", "weight"), words.select("word", (F.col("word_id") - 1).alias("index")))
-    tell = F.udf(lambda v: (len(v.indices), float(v.values.sum()), int(v.indices[0])), "struct<words:long,total:double,first:int>")
-    return got.select("doc_id", tell("vec").alias("t")).select("doc_id", "t.words", "t.total", "t.first")
+    told = got.select("doc_id", F.unwrap_udt("vec").alias("vec"))
+    return told.select("doc_id", F.size("vec.indices").cast("long").alias("words"), F.aggregate("vec.values", F.lit(0.0), lambda s, v: s + v).alias("total"), F.get("vec.indices", F.lit(0)).alias("first"))
 
 
 @query("SELECT DISTINCT unnest(string_split(p_type, ' ')) AS label FROM part")

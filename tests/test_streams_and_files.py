@@ -199,3 +199,40 @@ def test_stemmer(spark):
 
 def test_cut_entities_stay():
     assert markup.unescape_text("R&amp D &copy &am &amp;lt; &ampx; &semi; &#38 &#38;") == "R&amp D &copy &am &lt; &ampx; ; &#38 &"
+
+
+def test_dump_of_several_files(spark, sf_dir, monkeypatch):
+    """Every file of a dump is whole, and no task takes all pages; before, one file and one task held the dump."""
+    from dispersa.plans import library
+
+    monkeypatch.setattr(library, "DUMP_PAGES", 40)
+    paths = []
+    read = files.read_dump
+    monkeypatch.setattr(files, "read_dump", lambda s, path: paths.append(path) or read(s, path))
+    assert library.dump_file(spark, sf_dir).count() == spark.read.parquet(f"{sf_dir}/part.parquet").count()
+    found = [r.value for r in spark.read.text(paths[0], wholetext=True).collect()]
+    assert len(found) > 1 and all(x.startswith("<mediawiki>") and x.rstrip().endswith("</mediawiki>") for x in found)
+
+
+def test_pages_of_a_task_fill_several_files(spark, tmp_path):
+    """As many files as before, in order by name, from fewer tasks."""
+    rows = spark.range(3000).select("id", F.repeat(F.lit("x"), 100).alias("text"))
+    files.write_pages(rows, f"{tmp_path}/p", 1000)
+    names = sorted(p.name for p in (tmp_path / "p").glob("part-*"))
+    assert 300 <= len(names) <= 320 and len({n[:10] for n in names}) <= spark.sparkContext.defaultParallelism
+    read = [spark.read.schema("id long, text string").json(f"file://{tmp_path}/p/{n}").select("id").collect() for n in names[:40]]
+    assert [r.id for part in read for r in part] == list(range(sum(map(len, read))))
+
+
+def test_lines_of_wiki_are_counted_where_they_are_read(spark, tmp_path):
+    (tmp_path / "w.tsv").write_text("A\tx\t1\tred red car\nA\tx\t1\tred red car\nB\tx\t2\ta b\n")
+    got = files.read_wiki_tsv(spark, f"file://{tmp_path}/w.tsv")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [(r.title, r.bag) for r in got.collect()] == [("A", {"red": 2.0, "car": 1.0})] * 2
+
+
+def test_stems_are_made_of_words_not_of_texts(spark, sf_dir):
+    from dispersa.plans import queries as plans
+
+    plan = plans.stem_tokens(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("ArrowEvalPython") < plan.rindex("Aggregate")
